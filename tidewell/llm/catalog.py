@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, packing, simhash, toxicity
+from . import exact, lines, mixing, ogg, packing, secrets, simhash, suffixes, toxicity, urls
 
-MODULES = (toxicity, mixing, exact, simhash, packing)
+MODULES = (toxicity, lines, ogg, mixing, exact, simhash, packing, urls, suffixes, secrets)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
