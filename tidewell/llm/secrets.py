@@ -31,7 +31,7 @@ from .common import at, read
 
 MIN_LOG10, SPLIT, UNIT, WALK = 12.0, 1.0, 16, 3
 NAMES = "pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?"
-CONTEXT = rf"""(?i)({NAMES})[a-z0-9_]*["']?[ \t]*(?:=>|:=|=|:)[ \t]*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;]+))"""
+CONTEXT = rf"""(?i)({NAMES})[a-z0-9_]*["']?[ \t]*(?:=>|:=|=(?!>)|:(?!=))[ \t]*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;]+))"""
 WORDS = """password 123456 qwerty admin welcome login letmein monkey dragon master hello freedom whatever trustno shadow sunshine
 princess football baseball superman batman iloveyou secret test guest root default changeme example sample dummy placeholder
 your token key pass user name abc access private public server database mysql oracle system windows linux apple google
