@@ -220,7 +220,8 @@ def index_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def not_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    return crawllog.not_ready(events.select(F.col("user_id").alias("host")).distinct(), events.select(F.col("user_id").alias("host"), F.col("event_type").alias("line")), "purchase")
+    line = F.concat("event_type", F.lit(" "), F.floor("value").cast("string"))
+    return crawllog.not_ready(events.select(F.col("user_id").alias("host")).distinct(), events.select(F.col("user_id").alias("host"), line.alias("line")), "purchase 10")
 
 
 def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -431,7 +432,7 @@ SQL = {
     "index_size": """WITH h AS (SELECT source, sum(strlen(text))::BIGINT AS b FROM documents GROUP BY source), t AS (SELECT sum(b)::BIGINT AS total, max(b) AS largest FROM h)
         SELECT total, largest, CASE WHEN total >= 1099511627776 THEN floor(total / 1099511627776)::BIGINT || 'T' WHEN total >= 1073741824 THEN floor(total / 1073741824)::BIGINT || 'G'
         WHEN total >= 1048576 THEN floor(total / 1048576)::BIGINT || 'M' WHEN total >= 1024 THEN floor(total / 1024)::BIGINT || 'K' WHEN total >= 1 THEN total || 'B' END AS total_text FROM t""",
-    "not_ready": "SELECT DISTINCT user_id AS host FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE contains(event_type, 'purchase'))",
+    "not_ready": "SELECT DISTINCT user_id AS host FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE contains(event_type || ' ' || floor(value)::BIGINT::VARCHAR, 'purchase 10'))",
     "qrels_semi": f"WITH {_QRELS} SELECT * FROM qr WHERE url IN (SELECT doc_id::VARCHAR FROM documents WHERE n_chars > 1000)",
     "rank_loss": f"""WITH {_QRELS}, r AS (SELECT lang AS query, doc_id::VARCHAR AS url, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id::VARCHAR) AS actual FROM documents
         QUALIFY actual <= {LOSS_TOP}) SELECT qr.query, sum(pow(qr.rank - coalesce(actual, 100), 2)) AS loss FROM qr LEFT JOIN r USING (query, url) GROUP BY qr.query""",

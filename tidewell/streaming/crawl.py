@@ -39,7 +39,7 @@ def host_slots(events: DataFrame) -> DataFrame:
             state.remove()
         yield pd.DataFrame({"url": pd.Series(out, dtype=object)})
 
-    return events.groupBy(hostname(F.col("url")).alias("host")).applyInPandasWithState(run, "url string", "busy int", "append", GroupStateTimeout.NoTimeout)
+    return events.withColumn("host", hostname(F.col("url"))).groupBy("host").applyInPandasWithState(run, "url string", "busy int", "append", GroupStateTimeout.NoTimeout)
 
 
 def sliding_rate(log: DataFrame, every: str = "1 minute", late: str = "10 minutes") -> DataFrame:
