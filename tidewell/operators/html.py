@@ -102,7 +102,13 @@ def parse(html: str | None) -> Parsed:
             at = close if close >= 0 else size
         at = start = tag_end(at)
     if start < size:
-        words.extend(WORDS.findall(text, start, size))
+        rest = WORDS.findall(text, start, size)
+        last = rest[-1:] if text[-1] not in " \n\t\r\f" else []  # a word that the end cuts off is a body word everywhere
+        found = rest[: len(rest) - len(last)]
+        (titles if in_title else words).extend(found)
+        if in_anchor:
+            links[-1].anchor_text.extend(found)
+        words.extend(last)
     return out._replace(base=base or "")
 
 
