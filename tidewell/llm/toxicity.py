@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
-A sentence s has p_s = sigmoid(b + w.x_s) over counts of its words and word beginnings; a document is toxic with
-1 - prod(1 - p_s) (noisy-or). w and b are fitted to document labels alone, and the fitted p_s then show which sentences
-offend. The fit uses a bounded sample of labelled rows (MAX_TOXIC and MAX_CLEAN, taken by hash of doc_id), and the model is
+A sentence s has p_s = sigmoid(b + w.x_s) over the words and word beginnings of its distinct tokens; a document is toxic with
+1 - prod(1 - p_s) (noisy-or). A sentence without any feature of the model has p_s = 0, so that a document doesn't become
+toxic by its length alone. w and b are fitted to document labels alone, and the fitted p_s then show which sentences
+offend. Features are those more frequent in toxic documents, in MIN_DOCS and a MIN_SHARE of the toxic sample at least. The fit uses a bounded sample of labelled rows (MAX_TOXIC and MAX_CLEAN, taken by hash of doc_id), and the model is
 a dictionary of at most FEATURES entries, whatever the input's size. Scoring covers every document whole, in one pass
 without a shuffle.
 
@@ -17,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from math import inf
 
 import numpy as np
 import pandas as pd
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import at, read
 
-MAX_TOXIC, MAX_CLEAN, FEATURES, MIN_DOCS, HELD_OUT = 2000, 4000, 2048, 4, 5
-LEAST_CUT, MOST_CUT = 0.3, 0.8
+MAX_TOXIC, MAX_CLEAN, FEATURES, MIN_DOCS, MIN_SHARE, HELD_OUT = 2000, 4000, 2048, 4, 0.01, 5
+LEAST_CUT, MOST_CUT = 0.5, 0.8
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
@@ -67,15 +69,18 @@ class Model:
         return w
 
     def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
-        """(start, end, log-odds) of each sentence that has a word."""
+        """(start, end, log-odds) of each sentence that has a word; -inf without a feature."""
         token, out, known = self.token, [], self._known
         for m in SENTENCE.finditer(text or ""):
             if parts := m.group().split():
-                z = self.bias
-                for t in parts:
+                e, some = self.bias, False
+                for t in dict.fromkeys(parts):
                     w = known.get(t)
-                    z += token(t) if w is None else w
-                out.append((m.start(), m.end(), z))
+                    if w is None:
+                        w = token(t)
+                    if w:
+                        e, some = e + w, True
+                out.append((m.start(), m.end(), e if some else -inf))
         return out
 
     def document(self, text: str | None) -> float:
@@ -94,7 +99,7 @@ def fit(texts: list[str], labels: list[int], ids: list[int], steps: int = 300, l
     if not 0 < y.sum() < len(y):
         return None
     of = lru_cache(200_000)(features)
-    bags = [[[f for t in m.group().split() for f in of(t)] for m in SENTENCE.finditer(text or "")] for text in texts]
+    bags = [[[f for t in dict.fromkeys(m.group().split()) for f in of(t)] for m in SENTENCE.finditer(text or "")] for text in texts]
     df = [Counter(), Counter()]
     for bag, label in zip(bags, labels, strict=True):
         df[label].update({f for s in bag for f in s})
@@ -102,16 +107,19 @@ def fit(texts: list[str], labels: list[int], ids: list[int], steps: int = 300, l
 
     def apart(f: str) -> float:
         p, q = (df[1][f] + 0.5) / (a + 1), (df[0][f] + 0.5) / (b + 1)
-        return abs(p - q) / np.sqrt((p * (1 - p)) / a + (q * (1 - q)) / b)
+        return (p - q) / np.sqrt((p * (1 - p)) / a + (q * (1 - q)) / b)
 
-    names = sorted((f for f in df[1] | df[0] if df[1][f] + df[0][f] >= MIN_DOCS), key=lambda f: (-apart(f), f))[:FEATURES]
+    least = max(MIN_DOCS, MIN_SHARE * a)
+    names = sorted((f for f in df[1] if df[1][f] >= least and apart(f) > 0), key=lambda f: (-apart(f), f))[:FEATURES]
     at_ = {f: i for i, f in enumerate(names)}
     feat, sent, count, doc = [], [], [], []
     for d, bag in enumerate(bags):
         for s in bag:
-            for f, k in Counter(at_[f] for f in s if f in at_).items():
+            known = Counter(at_[f] for f in s if f in at_)
+            for f, k in known.items():
                 feat.append(f), sent.append(len(doc)), count.append(k)
-            doc.append(d)
+            if known:
+                doc.append(d)
     feat, sent, count, doc = (np.array(x, dtype=np.int64) for x in (feat, sent, count, doc))
     held = np.array([hash(int(i)) % HELD_OUT == 0 for i in ids])
     if not 0 < y[~held].sum() < (~held).sum() or not 0 < y[held].sum() < held.sum():
@@ -173,7 +181,7 @@ def offending_sentences(docs: DataFrame, model: Model | None) -> DataFrame:
                 found = model.sentences(text)
                 z = [x for _, _, x in found]
                 if (p := noisy_or(z)) >= model.threshold and z:
-                    own = 1 / (1 + np.exp(-np.array(z)))
+                    own = np.exp(-np.logaddexp(0.0, -np.array(z)))
                     for k in np.flatnonzero((own >= model.threshold / 2) | (own == own.max())):
                         out.append((i, p, k, found[k][0], found[k][1], own[k]))
             yield pd.DataFrame(out, columns=["doc_id", "toxicity", "sentence", "start", "end", "score"])
