@@ -15,6 +15,7 @@ sample's hash go by doc_id; very long texts are scored whole; an empty table giv
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -98,11 +99,9 @@ def fit(texts: list[str], labels: list[int], ids: list[int], steps: int = 300, l
     y = np.array(labels, dtype=float)
     if not 0 < y.sum() < len(y):
         return None
-    of = lru_cache(200_000)(features)
-    bags = [[[f for t in dict.fromkeys(m.group().split()) for f in of(t)] for m in SENTENCE.finditer(text or "")] for text in texts]
     df = [Counter(), Counter()]
-    for bag, label in zip(bags, labels, strict=True):
-        df[label].update({f for s in bag for f in s})
+    for text, label in zip(texts, labels, strict=True):
+        df[label].update({f for t in set((text or "").split()) for f in features(t)})
     a, b = y.sum(), len(y) - y.sum()
 
     def apart(f: str) -> float:
@@ -112,13 +111,16 @@ def fit(texts: list[str], labels: list[int], ids: list[int], steps: int = 300, l
     least = max(MIN_DOCS, MIN_SHARE * a)
     names = sorted((f for f in df[1] if df[1][f] >= least and apart(f) > 0), key=lambda f: (-apart(f), f))[:FEATURES]
     at_ = {f: i for i, f in enumerate(names)}
-    feat, sent, count, doc = [], [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            known = Counter(at_[f] for f in s if f in at_)
-            for f, k in known.items():
+    del df
+    # the texts are read a second time instead of being kept as features, which takes several times their memory
+    known = lru_cache(100_000)(lambda t: tuple(at_[f] for f in features(t) if f in at_))
+    feat, sent, count, doc = (array("q") for _ in range(4))
+    for d, text in enumerate(texts):
+        for m in SENTENCE.finditer(text or ""):
+            found = Counter(f for t in dict.fromkeys(m.group().split()) for f in known(t))
+            for f, k in found.items():
                 feat.append(f), sent.append(len(doc)), count.append(k)
-            if known:
+            if found:
                 doc.append(d)
     feat, sent, count, doc = (np.array(x, dtype=np.int64) for x in (feat, sent, count, doc))
     held = np.array([hash(int(i)) % HELD_OUT == 0 for i in ids])
