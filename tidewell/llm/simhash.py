@@ -2,12 +2,13 @@
 
 Each document gets a 256-bit SimHash of its set of words and a 128-bit one of its set of word pairs. Documents with equal
 hashes are one point from the start, so thousands of copies cost one row each, once. Every point is a query in each of
-`TREES` trees, which order the points by the bits of the first hash in a random order of their own. A query climbs from
-its deepest prefix to shorter ones until the trees together reach the recall TARGET for a pair at the DESIGN distance;
-climb_depth() gives the depth at which that holds. Points that share that prefix are compared. Where they lie dense (more
-than DENSE share it), the bucket grows a forest of its own: further tries over fresh bit orders, whose prefixes deepen
-with the bucket's size until few unlike points share one and whose number keeps the local recall at LOCAL_TARGET; so
-the work in a bucket of n points grows a little faster than n, not as n * n. No bucket, query or partner count is capped.
+`TREES` trees, which order the points by the bits of the first hash in a random order of their own. A query climbs to the
+prefix at which the trees together reach the recall TARGET for a pair at the DESIGN distance, the farthest that the verifier
+accepts, after what the forests of dense buckets lose; climb_depth() gives its length. Points that share that prefix are
+compared. Where they lie dense (more than DENSE share it), the bucket grows a forest of its own: further tries over fresh bit
+orders, whose prefixes deepen with the bucket's size until few unlike points share one and whose number keeps the local
+recall at the DESIGN distance at LOCAL_TARGET (a bucket that is dense again within it: INNER_TARGET). No bucket, query or
+partner count is capped. Sparse buckets have no such loss.
 
 Candidates are verified by the whole hashes: at most MAX_WORDS of 256 bits and at most MAX_PAIRS of 128 bits apart (a
 cosine of about 0.83 and 0.6). Verified links leave a bucket as stars, so a group of n sends n rows, and connected
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import at, drop, fresh, read, stored
 
-BITS, PAIR_BITS, TREES, DESIGN, TARGET = 256, 128, 16, 0.12, 0.95
-MAX_WORDS, MAX_PAIRS, DENSE, LOCAL_TARGET, UNLIKE = 48, 38, 512, 0.995, 0.38
+BITS, PAIR_BITS, TREES, TARGET = 256, 128, 16, 0.95
+MAX_WORDS, MAX_PAIRS, DENSE, LOCAL_TARGET, INNER_TARGET, UNLIKE = 48, 38, 512, 0.75, 0.98, 0.38
+DESIGN = MAX_WORDS / BITS
+PENDING = 1_000_000  # pairs held at once
 SIGS = "id long, h binary"
 
 
@@ -138,10 +141,11 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.where(at("doc_id").isNotNull() & at("text").isNotNull()).select(at("doc_id").cast("long").alias("id"), at("text").alias("text")).mapInArrow(run, SIGS)
 
 
-def climb_depth(trees: int = TREES, design: float = DESIGN, target: float = TARGET) -> int:
-    """The deepest prefix at which a pair at the design distance meets in one of the trees with the target's probability."""
+def climb_depth(trees: int = TREES, design: float = DESIGN, target: float = TARGET, local: float = LOCAL_TARGET) -> int:
+    """The deepest prefix at which a pair at the design distance meets in one of the trees, and is found there by a bucket's
+    forest, with the target's probability."""
     k = 1
-    while 1 - (1 - (1 - design) ** (k + 1)) ** trees >= target:
+    while 1 - (1 - local * (1 - design) ** (k + 1)) ** trees >= target:
         k += 1
     return k
 
@@ -163,9 +167,8 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (d[..., :4].sum(-1, dtype=np.int32) <= MAX_WORDS) & (d[..., 4:].sum(-1, dtype=np.int32) <= MAX_PAIRS)
 
 
-def linked(words: np.ndarray, keys: np.ndarray, dense: int = DENSE, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs (rows i, j) among the rows that share a key; rows come sorted by key."""
-    left, right = [], []
+def pairs(words: np.ndarray, keys: np.ndarray, dense: int = DENSE, level: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified pairs (rows i, j) among the rows that share a key, in parts that may repeat a pair; rows come sorted by key."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
     sizes = np.diff(np.r_[starts, len(keys)])
     size_of = np.repeat(sizes, sizes)
@@ -175,21 +178,40 @@ def linked(words: np.ndarray, keys: np.ndarray, dense: int = DENSE, level: int =
     while len(rows := rows[rows + step < end_of[rows]]):
         for part in np.array_split(rows, -(-len(rows) // 65536)):
             hit = part[near(words[part], words[part + step])]
-            left.append(hit), right.append(hit + step)
+            if len(hit):
+                yield hit, hit + step
         step += 1
     if level < 3:
         for s, n in zip(starts[sizes > dense], sizes[sizes > dense], strict=True):
             own = words[s : s + n]
             bits = np.unpackbits(own[:, :4].copy().view(np.uint8), axis=1)
-            depth = max(4, int(np.ceil(np.log(n / 32) / -np.log(1 - UNLIKE))))
-            tries = int(np.ceil(np.log(1 - LOCAL_TARGET) / np.log1p(-((1 - DESIGN) ** depth))))
-            for order in bit_orders(tries, min(depth, 60), seed=1000 + level):
+            depth = min(60, max(4, int(np.ceil(np.log(n / 32) / -np.log(1 - UNLIKE)))))
+            tries = int(np.ceil(np.log(1 - (INNER_TARGET if level else LOCAL_TARGET)) / np.log1p(-((1 - DESIGN) ** depth))))
+            seed = int(np.bitwise_xor.reduce(own[:, 0]))  # by content: a pair's buckets in other trees get other orders
+            for order in bit_orders(tries, depth, seed):
                 k = prefixes(bits, order)
                 by = np.argsort(k, kind="stable")
-                i, j = linked(own[by], k[by], dense, level + 1)
-                left.append(s + by[i]), right.append(s + by[j])
+                for i, j in pairs(own[by], k[by], dense, level + 1):
+                    yield s + by[i], s + by[j]
+
+
+def linked(words: np.ndarray, keys: np.ndarray, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
+    """All that pairs() finds."""
+    found = list(pairs(words, keys, dense))
     none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    return np.concatenate([none, *(i for i, _ in found)]), np.concatenate([none, *(j for _, j in found)])
+
+
+def linked_stars(words: np.ndarray, keys: np.ndarray, pending: int = PENDING) -> np.ndarray:
+    """stars() of all that pairs() finds, without holding more than about `pending` pairs at once."""
+    least, left, right, held = np.arange(len(keys)), [], [], 0
+    for i, j in pairs(words, keys):
+        left.append(i), right.append(j)
+        held += len(i)
+        if held >= pending:
+            least = stars(len(keys), np.concatenate([np.arange(len(keys)), *left]), np.concatenate([least, *right]))
+            left, right, held = [], [], 0
+    return stars(len(keys), np.concatenate([np.arange(len(keys)), *left]), np.concatenate([least, *right]))
 
 
 def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -234,8 +256,7 @@ def _harvest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, i, h = k[:n], i[:n], h[:n]
         order = np.lexsort((i, k))
         i, h = i[order], h[order]
-        a, b = linked(h, k)
-        least = stars(n, a, b)
+        least = linked_stars(h, k)
         # rows lie by (key, id): the least row of a star has its least id
         moved = np.flatnonzero(least != np.arange(n))
         return pa.RecordBatch.from_arrays([pa.array(i[moved]), pa.array(i[least[moved]])], ["a", "b"])
