@@ -171,7 +171,7 @@ def frontier_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frontier_level_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.capped_by_level(crawl.prioritized(urls_of(spark, sf_dir), F.col("page_id")), 40)
+    return crawl.capped_by_level(crawl.prioritized(urls_of(spark, sf_dir), F.col("page_id")))
 
 
 def old_links(spark: SparkSession, sf_dir: str) -> DataFrame:
