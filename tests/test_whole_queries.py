@@ -17,3 +17,18 @@ def test_level_cap_itself(spark):
     f = spark.range(500_003).selectExpr("concat('u', id) AS url", "IF(id < 2, 1, 3) AS priority", "id AS seq")
     got = crawl.capped_by_level(f).groupBy("priority").agg({"seq": "max", "*": "count"})
     assert {tuple(r[c] for c in ("priority", "count(1)", "max(seq)")) for r in got.collect()} == {(1, 2, 1), (3, 500_000, 500_001)}
+
+
+def test_old_link_limits(spark, duck, data_dir, tmp_path):
+    own, far = [f"/p{k}" for k in range(5)], [f"https://h{k}.org/x" for k in range(9)]
+    page = lambda *links: "".join(f'<a href="{x}">t</a>' for x in links)
+    rows = [(21, "https://s.com/1", page(*own, *far)), (41, "https://s.com/2", page(own[0], "/login", own[1])), (42, "https://s.com/3", "none")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalog.QUERIES["old_link_limits"](spark, str(tmp_path)).collect()
+    want = [(21, k, f"https://s.com/p{k}") for k in range(3)] + [(21, 5 + k, u) for k, u in enumerate(far[:5])] + [(41, 0, "https://s.com/p0"), (41, 2, "https://s.com/p1")]
+    assert sorted(map(tuple, got)) == want
+    whole = f"""WITH {catalog._LINKS}, j AS (SELECT page_id, no, page_url, regexp_replace({catalog._JOINED}, '/$', '') AS url FROM l),
+        a AS (SELECT page_id, no, url, {catalog._OWN} = {catalog._OWN.replace("(url", "(page_url")} AS own FROM j WHERE {catalog._LIKED}),
+        b AS (SELECT * FROM a QUALIFY NOT own OR row_number() OVER (PARTITION BY page_id, own ORDER BY no) <= 3)
+        SELECT page_id, no, url FROM b QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY no) <= 8"""
+    same_rows(catalog.QUERIES["old_link_limits"](spark, data_dir), duck.sql(whole))

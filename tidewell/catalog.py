@@ -175,8 +175,9 @@ def frontier_level_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def old_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = urls_of(spark, sf_dir).withColumn("page_url", F.col("url")).withColumn("no", F.col("page_id"))
-    return crawl.old_link_limits(own.withColumn("page_id", F.col("page_id") % 20)).select("page_id", "no", "url")
+    found = html.page_links(pages(spark, sf_dir))
+    joined = found.withColumn("url", urls.drop_last_slash(urls.url_join("page_url", "url"))).withColumn("no", F.col("no").cast("long"))
+    return crawl.old_link_limits(joined).select("page_id", "no", "url")
 
 
 def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
