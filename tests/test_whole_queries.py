@@ -32,3 +32,12 @@ def test_old_link_limits(spark, duck, data_dir, tmp_path):
         b AS (SELECT * FROM a QUALIFY NOT own OR row_number() OVER (PARTITION BY page_id, own ORDER BY no) <= 3)
         SELECT page_id, no, url FROM b QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY no) <= 8"""
     same_rows(catalog.QUERIES["old_link_limits"](spark, data_dir), duck.sql(whole))
+
+
+def test_rank_loss(spark, duck, data_dir, tmp_path):
+    spark.createDataFrame([(k, "en", 1000 - k) for k in range(300)], "doc_id long, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1) for k in range(300)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert [tuple(r) for r in catalog.QUERIES["rank_loss"](spark, str(tmp_path)).collect()] == [("en", 0.0)]  # judged and actual ranks agree
+    whole = f"""WITH {catalog._QRELS}, r AS (SELECT lang AS query, doc_id::VARCHAR AS url, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id::VARCHAR) AS actual FROM documents)
+        SELECT qr.query, sum(pow(qr.rank - coalesce(actual, 100), 2)) AS loss FROM qr LEFT JOIN r USING (query, url) GROUP BY qr.query"""
+    same_rows(catalog.QUERIES["rank_loss"](spark, data_dir), duck.sql(whole))

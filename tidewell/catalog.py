@@ -239,8 +239,7 @@ def qrels_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     results = docs.select(F.col("lang").alias("query"), F.col("doc_id").cast("string").alias("url"), F.col("n_chars").cast("double").alias("score"))
-    top = evalrank.ranked(results).where(F.col("actual") <= LOSS_TOP)
-    return evalrank.rank_loss(_qrels(spark, sf_dir), top)
+    return evalrank.rank_loss(_qrels(spark, sf_dir), evalrank.ranked(results))
 
 
 def stopword_shortcut(spark: SparkSession, sf_dir: str) -> DataFrame:
