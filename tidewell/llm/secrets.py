@@ -6,9 +6,10 @@ dates, repeats of a short unit, keyboard walks, and brute-force spans; each furt
 product over all segmentations comes from dynamic programming over the value's positions. A value that still needs
 10 ** MIN_LOG10 guesses is a real secret; the rest are placeholders and weak words.
 
-Segments from a position i: every listed word there; every date there; for each unit of 1 to 16 characters the longest run
-of its repeats; the longest walk, of 3 characters at least, between keys that touch (or the same row's next); and brute
-force over any span, where each character takes as many guesses as the character classes in the span have members.
+Segments from a position i: every listed word there; every date there; for each unit, of up to half the value, every number of
+its repeats; every walk, of 3 characters at least, between keys that touch (or the same row's next); and brute force over
+any span, where each character takes as many guesses as the character classes in the span have members. A unit of more than
+UNIT characters that is a repeat itself is left out: no word or date is that long, so its own unit costs no more.
 
 Defined cases: null and empty texts have no value; a value ends at its quote or at white space, comma or semicolon; values
 of any length are scored whole; repeated rows are each reported; rows without a doc_id are reported with null; an empty table
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from math import inf, log10
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,53 +68,79 @@ def touch(a: str, b: str) -> bool:
     return (down == 0 and abs(q[1] - p[1]) == 1) or (down == 1 and q[1] - p[1] in (-1, 0)) or (down == -1 and q[1] - p[1] in (0, 1))
 
 
-def spans(v: str) -> Iterator[tuple[int, int, float]]:
-    """(start, end, log10 of guesses) of all segments of v but the brute-force ones."""
+def repeats(v: str) -> list[list[tuple[int, int]]]:
+    """For each position the (length of unit, most repeats) of the units that are repeated there."""
+    out: list[list[tuple[int, int]]] = [[] for _ in v]
+    a = np.array([ord(c) for c in v], dtype=np.int64)
+    for u in range(1, len(v) // 2 + 1):
+        edge = np.flatnonzero(np.diff(np.r_[False, a[:-u] == a[u:], False].astype(np.int8)))
+        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if e - s >= u and (u <= max(UNIT, LONGEST) or (v[s : s + u] * 2).find(v[s : s + u], 1) == u):
+                for i in range(s, e - u + 1):
+                    out[i].append((u, (e - i) // u + 1))
+    return out
+
+
+def segments(v: str, memo: dict[str, float]) -> Iterator[Iterator[tuple[int, int, np.ndarray]]]:
+    """For each position i of v the segments that start there, but for brute-force ones: (end, step, costs), a segment to end,
+    end + step ... for each of the costs (log10 of guesses)."""
     low = v.translate(SHIFTED).lower()
     walk = [1] * (len(v) + 1)
     for i in range(len(v) - 2, -1, -1):
         walk[i] = walk[i + 1] + 1 if touch(low[i], low[i + 1]) else 1
-    run = {}
-    for u in range(1, min(UNIT, len(v) // 2) + 1):
-        same = [0] * (len(v) + 1)
-        for i in range(len(v) - u - 1, -1, -1):
-            same[i] = same[i + 1] + 1 if v[i] == v[i + u] else 0
-        run[u] = same
-    for i in range(len(v)):
+    again = repeats(v)
+    logs = np.log10(np.arange(2, max(len(v), 2) + 1))
+    steps = log10(94) + np.arange(len(v)) * log10(4.6)
+
+    def starting(i: int) -> Iterator[tuple[int, int, np.ndarray]]:
         for n in range(2, min(LONGEST, len(v) - i) + 1):
             raw = v[i : i + n]
             plain = raw.lower()
             for word, changed in ((plain, 0), (plain.translate(LEET), sum(a != b for a, b in zip(plain, plain.translate(LEET), strict=True)))):
                 if word in RANK:
-                    yield i, i + n, log10(RANK[word]) + log10(2) * (changed + (raw != plain))
+                    yield i + n, 1, np.array([log10(RANK[word]) + log10(2) * (changed + (raw != plain))])
         for n in range(4, min(10, len(v) - i) + 1):
             if DATE.fullmatch(v, i, i + n):
-                yield i, i + n, log10(119) if n == 4 else log10(365 * 119) + (0.6 if not v[i : i + n].isdigit() else 0)
-        for u, same in run.items():
-            if same[i] >= u:
-                k = same[i] // u + 1
-                yield i, i + u * k, guesses(v[i : i + u]) + log10(k)
+                yield i + n, 1, np.array([log10(119) if n == 4 else log10(365 * 119) + (0.6 if not v[i : i + n].isdigit() else 0)])
+        for u, k in again[i]:
+            yield i + 2 * u, u, _guesses(v[i : i + u], memo) + logs[: k - 1]
         if walk[i] >= WALK:
-            yield i, i + walk[i], log10(94) + (walk[i] - 1) * log10(4.6)
+            yield i + WALK, 1, steps[WALK - 1 : walk[i]]
+
+    return map(starting, range(len(v)))
+
+
+def spans(v: str) -> Iterator[tuple[int, int, float]]:
+    """(start, end, log10 of guesses) of all segments of v but the brute-force ones."""
+    for i, found in enumerate(segments(v, {})):
+        for j, step, costs in found:
+            for n, g in enumerate(costs.tolist()):
+                yield i, j + n * step, g
 
 
 @lru_cache(20_000)
 def guesses(v: str) -> float:
     """log10 of the fewest guesses over all segmentations of v."""
-    best = [inf] * (len(v) + 1)
+    return _guesses(v, {})
+
+
+def _guesses(v: str, memo: dict[str, float]) -> float:
+    if v in memo:
+        return memo[v]
+    best = np.full(len(v) + 1, inf)
     best[0] = -SPLIT
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(len(v) + 1)]
-    for i, j, g in spans(v):
-        ends[i].append((j, g))
     brute = [inf] * 16  # the best cost of a brute-force span under way, by the classes it may use
-    for i, c in enumerate(v):
-        for j, g in ends[i]:
-            best[j] = min(best[j], best[i] + SPLIT + g)
+    for i, (c, found) in enumerate(zip(v, segments(v, memo), strict=True)):
+        here = float(best[i]) + SPLIT
+        for j, step, costs in found:
+            ends = best[j : j + step * len(costs) : step]
+            np.minimum(ends, here + costs, out=ends)
         b = 1 << kind(c)
         for s in range(1, 16):
-            brute[s] = min(brute[s], best[i] + SPLIT) + log10(SIZE[s]) if s & b else inf
+            brute[s] = min(brute[s], here) + log10(SIZE[s]) if s & b else inf
         best[i + 1] = min(best[i + 1], *brute)
-    return best[-1]
+    memo[v] = float(best[-1])
+    return memo[v]
 
 
 def scan(docs: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
