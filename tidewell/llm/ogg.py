@@ -96,14 +96,14 @@ class Stream:
         lost = self.next_ is not None and p.sequence != self.next_
         self.next_ = (p.sequence + 1) & 0xFFFFFFFF
         whole, parts = [], p.parts
+        if lost:
+            self.held = None
         if p.flags & 1:  # goes on with the last packet of the page before
-            if self.held is not None and not lost and parts:
+            if self.held is not None and parts:
                 self.held.append(parts[0])
                 if len(parts) > 1 or not p.open:
                     whole.append(b"".join(self.held))
                     self.held = None
-            elif parts and (len(parts) > 1 or not p.open):
-                self.held = None
             parts = parts[1:]
         else:
             self.held = None
