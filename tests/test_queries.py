@@ -1,4 +1,4 @@
-"""Every query of the engine over the smallest tables, against DuckDB where it has SQL."""
+"""Every query of the library over the smallest tables, against DuckDB where it has SQL."""
 
 import pytest
 from compare import same_rows

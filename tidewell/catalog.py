@@ -1,4 +1,4 @@
-"""The queries over the engine's operators, and DuckDB SQL for those that SQL can express."""
+"""The queries over the library's operators, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import hashes, stem, text, urls
-from .operators import crawl, crawllog, evalrank, html, index, robots
+from .operators import crawl, crawllog, evalrank, html, index, robots, store
 from .plans import match, qlang, search
+from .plans.rank import nearest, rarest
 
 Q_AND, Q_NOT, Q_OR, Q_PHRASE, Q_NESTED = "of + with", "the - of", "la | und", '" of the "', "[ of | und ] + [ with - [ la | in ] ]"
 Q_TITLE, Q_RANK, PAGE_QUERY = "the#", "of the with", "the | and | of"
-HALF_DAY_US = 43_200_000_000
-LOSS_TOP = 20
+#: Of the stored index: tokens after which a chunk is closed, and servers that documents are dealt to.
+CHUNK, SERVERS = 50_000, 2
+_built: dict[tuple[str, str, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,16 +37,28 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("server"), F.to_timestamp("ts").alias("ts"))
 
 
-def matched(query: str):
+def index_path(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """Where the index of the documents or pages of sf_dir lies; written at its first use in this application."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _built:
+        path = store.new_path(spark, f"index-{kind}")
+        docs = documents(spark, sf_dir) if kind == "documents" else index.docs_of_pages(pages(spark, sf_dir))
+        index.IndexBuilder(CHUNK, SERVERS).add(docs).write(path)
+        _built[key] = path
+    return _built[key]
+
+
+def matched(query: str, kind: str = "documents"):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return match.matches(index.postings(documents(spark, sf_dir), match.term_pairs(qlang.literals(qlang.parse(query)))), query).select("doc_id")
+        return match.matches(index.read_index(spark, index_path(spark, sf_dir, kind))[1], query).select("doc_id")
 
     return run
 
 
-def scored(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return search.scored(index.postings(docs, match.term_pairs(qlang.literals(qlang.parse(query)))), docs, query)
+def scored(spark: SparkSession, sf_dir: str, query: str, kind: str = "documents") -> DataFrame:
+    path = index_path(spark, sf_dir, kind)
+    docs, posts = index.read_index(spark, path)
+    return search.scored(posts, docs, query, index.read_terms(spark, path))
 
 
 def column(name: str, make):
@@ -53,7 +67,15 @@ def column(name: str, make):
 
 
 def term_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.postings(documents(spark, sf_dir), ["with"]).select("doc_id", "pos")
+    posts = index.read_index(spark, index_path(spark, sf_dir, "documents"))[1]
+    return posts.where("term = 'with'").select("doc_id", F.explode("positions").alias("pos"))
+
+
+def index_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All postings as they come back from a stored index, with their document's place."""
+    docs, posts = index.read_index(spark, index_path(spark, sf_dir, "documents"))
+    rows = posts.select("chunk_id", "term", "doc_id", F.size("positions").cast("long").alias("n"), F.element_at("positions", 1).alias("first_pos"))
+    return rows.join(docs.select("doc_id", "start_pos", "doc_len"), "doc_id")
 
 
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +83,6 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("term", "doc_id", F.size("positions").cast("long").alias("n"), F.element_at("positions", 1).alias("first_pos"), F.element_at("positions", -1).alias("last_pos"))
 
 
-def title_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = index.docs_of_pages(pages(spark, sf_dir))
-    return match.matches(index.postings(docs, match.term_pairs([Q_TITLE])), Q_TITLE).select("doc_id")
-
-
 def doc_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", "doc_len")
 
@@ -75,22 +92,18 @@ def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.chunked(documents(spark, sf_dir), 50_000).select("doc_id", "chunk_id", "start_pos", "doc_len")
+    return index.chunked(documents(spark, sf_dir), CHUNK, SERVERS).select("doc_id", "chunk_id", "start_pos", "doc_len")
 
 
 def rare_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = Q_RANK.split()
-    posts = index.postings(documents(spark, sf_dir), words)
-    counts = posts.groupBy("chunk_id").agg(*(F.sum(F.when(F.col("term") == w, 1).otherwise(0)).alias(w) for w in words))
-    from .plans.rank import rarest
-
+    stats = index.read_terms(spark, index_path(spark, sf_dir, "documents")).where(F.col("term").isin(*words))
+    counts = stats.groupBy("chunk_id").agg(*(F.sum(F.when(F.col("term") == w, F.col("cf")).otherwise(0)).alias(w) for w in words))
     return counts.select("chunk_id", F.element_at(F.array(*map(F.lit, words)), rarest([F.col(w) for w in words]) + 1).alias("rarest"))
 
 
 def nearest_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .plans.rank import nearest
-
-    found = match.positions(index.postings(documents(spark, sf_dir), match.term_pairs(["with", "of"])), ["with", "of"])
+    found = match.positions(index.read_index(spark, index_path(spark, sf_dir, "documents"))[1], ["with", "of"])
     rows = found.select("doc_id", "b1", F.explode("b0").alias("pos"))
     return rows.select("doc_id", "pos", nearest(F.col("b1"), F.col("pos")).alias("nearest"))
 
@@ -108,9 +121,7 @@ def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = index.docs_of_pages(pages(spark, sf_dir))
-    posts = index.postings(docs, match.term_pairs(qlang.literals(qlang.parse(PAGE_QUERY))))
-    return search.best(search.scored(posts, docs, PAGE_QUERY)).select("doc_id", "url", F.round("score", 6).alias("score"))
+    return search.best(scored(spark, sf_dir, PAGE_QUERY, "pages")).select("doc_id", "url", F.round("score", 6).alias("score"))
 
 
 def url_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +222,12 @@ def rate_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawllog.last_rate(log(spark, sf_dir)).select("server", F.round("rate", 6).alias("rate"))
 
 
+def rate_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As of a minute before the log's middle line in time: later servers' last lines aren't stale, earlier ones' are."""
+    now = log(spark, sf_dir).agg(F.max(F.unix_micros("ts"))).first()[0]
+    return crawllog.summed_rate(log(spark, sf_dir), now - 3_600_000_000).select(F.round("rate", 4).alias("rate"), "servers")
+
+
 def total_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawllog.total_docs(log(spark, sf_dir))
 
@@ -264,25 +281,36 @@ def bloom_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(bits).cast("long").alias("bits"), F.lit(hashes_).cast("long").alias("hashes"))
 
 
+def murmur_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls_of(spark, sf_dir).select("page_id", hashes.murmur_hash("url").alias("h")).select("page_id", "h.low", "h.high")
+
+
+def varint_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps between a document's line ends as 7-bit groups, and how many bytes the 7-bit and the prefix code take."""
+    ends = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: F.octet_length(x).cast("long")), lambda n: n >= 0))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(ends).alias("n"))
+    return rows.select("doc_id", "n", F.hex(hashes.varint_column("n")).alias("code"), F.length(hashes.prefixed_column("n")).alias("prefixed"), F.element_at(hashes.varints_column(hashes.varint_column("n")), 1).alias("back"))
+
+
 def decode_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.concat(F.lit("%5B"), F.replace("url", F.lit("/"), F.lit("%20")), F.lit("%22%2B%5D"))
     return urls_of(spark, sf_dir).select("page_id", text.decode_request(asked).alias("query"))
 
 
 QUERIES = {
-    "term_lookup": term_lookup, "and_query": matched(Q_AND), "or_query": matched(Q_OR), "not_query": matched(Q_NOT), "phrase_query": matched(Q_PHRASE),
-    "nested_query": matched(Q_NESTED), "title_query": title_query, "inverted_index": inverted_index, "doc_length": doc_length, "term_stats": term_stats,
+    "term_lookup": term_lookup, "index_write": index_write, "and_query": matched(Q_AND), "or_query": matched(Q_OR), "not_query": matched(Q_NOT), "phrase_query": matched(Q_PHRASE),
+    "nested_query": matched(Q_NESTED), "title_query": matched(Q_TITLE, "pages"), "inverted_index": inverted_index, "doc_length": doc_length, "term_stats": term_stats,
     "collection_freq": lambda s, d: term_stats(s, d).select("term", "cf"), "doc_freq": lambda s, d: term_stats(s, d).select("term", "df"),
     "vocab_size": lambda s, d: index.vocabulary(documents(s, d)), "chunk_layout": chunk_layout, "rare_word": rare_word, "nearest_pos": nearest_pos,
     "span_score": span_score, "topk_search": topk_search, "url_score": url_score, "page_search": page_search, "results_json": results_json, "stopword_shortcut": stopword_shortcut,
     "normalize_words": normalize_words, "plain_words": plain_words, "stems": stems, "integer_functions": integer_functions, "rolling_hashes": rolling_hashes,
-    "bloom_size": bloom_size, "decode_request": decode_request, "strip_prefix": column("stripped", urls.strip_prefix), "hostname": column("host", urls.hostname),
+    "bloom_size": bloom_size, "murmur_hashes": murmur_hashes, "varint_round_trip": varint_round_trip, "decode_request": decode_request, "strip_prefix": column("stripped", urls.strip_prefix), "hostname": column("host", urls.hostname),
     "base_root": column("root", urls.base_root), "base_path": column("path", urls.base_path), "drop_last_slash": column("cut", urls.drop_last_slash), "split_url": split_url,
     "frontier_priority": column("priority", urls.frontier_priority), "blacklist_filter": column("barred", urls.barred), "url_reject": column("refused", lambda u: urls.refused(text.ascii_lower(u))),
     "old_policy": column("liked", urls.old_policy), "old_link_limits": old_links, "url_join": url_join, "html_parse": html_parse, "link_extract": link_extract, "links_kept": links_kept,
     "language_gate": language_gate, "url_dedup": url_dedup, "visited_anti_join": unseen, "host_cap": host_cap, "frontier_pop": frontier_pop, "frontier_level_cap": frontier_level_cap,
     "robots_rules": robots_rules, "robots_filter": robots_filter, "crawl_rate_5min": crawl_rate_5min, "crawl_rate_by_server": crawl_rate_by_server,
-    "cumulative_docs": cumulative_docs, "cumulative_by_server": cumulative_by_server, "rate_lag": rate_lag, "total_docs": total_docs, "index_size": index_size,
+    "cumulative_docs": cumulative_docs, "cumulative_by_server": cumulative_by_server, "rate_lag": rate_lag, "rate_sum": rate_sum, "total_docs": total_docs, "index_size": index_size,
     "not_ready": not_ready, "qrels_semi": qrels_semi, "rank_loss": rank_loss,
 }
 
@@ -293,16 +321,23 @@ _P = rf"""
     w0 AS (SELECT doc_id, string_split_regex(text, '[ \n\t\r\f]+') AS ws FROM documents),
     w1 AS (SELECT doc_id, unnest(ws) AS raw, unnest(range(len(ws))) AS i FROM w0),
     w2 AS (SELECT doc_id, trim({_LOW.format("raw")}, '.!?,)(#''";') AS term, i FROM w1),
-    p AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM w2 WHERE term <> '')"""
-_HAS = "EXISTS (SELECT 1 FROM p WHERE p.doc_id = d.doc_id AND term = '{}')"
+    p AS MATERIALIZED (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM w2 WHERE term <> '')"""
+_HAS = "bool_or(term = '{}')"
 _RANK = Q_RANK.split()
+_CHUNKS = f"""
+    sz AS (SELECT d.doc_id, d.doc_id % {SERVERS} AS server, count(p.term) AS doc_len FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY d.doc_id),
+    st AS MATERIALIZED (SELECT *, (sum(doc_len + 1) OVER (PARTITION BY server ORDER BY doc_id) - doc_len - 1)::BIGINT AS start_ FROM sz),
+    ck(server, no, first_) AS (SELECT DISTINCT server, 0::BIGINT, 0::BIGINT FROM st UNION ALL
+        SELECT st.server, ck.no + 1, min(st.start_) FROM ck JOIN st ON st.server = ck.server AND st.start_ > ck.first_ + {CHUNK} GROUP BY st.server, ck.no),
+    ch AS MATERIALIZED (SELECT doc_id, doc_len, max(no) * {SERVERS} + st.server AS chunk_id, start_ - max(first_) AS start_pos
+        FROM st JOIN ck ON st.server = ck.server AND first_ <= start_ GROUP BY doc_id, doc_len, st.server, start_)"""
 _RARE = f"""
     q(term, i) AS (VALUES {", ".join(f"('{w}', {i})" for i, w in enumerate(_RANK))}),
-    cf AS (SELECT i, term, count(*) AS n FROM p JOIN q USING (term) GROUP BY i, term),
-    rare AS (SELECT i AS r, term FROM cf ORDER BY n, i LIMIT 1)"""
-_SPAN = f"""WITH {_P}, {_RARE},
+    cf AS (SELECT chunk_id, i, term, count(*) AS n FROM p JOIN q USING (term) JOIN ch USING (doc_id) GROUP BY chunk_id, i, term),
+    rare AS (SELECT chunk_id, i AS r, term FROM cf QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY n, i) = 1)"""
+_SPAN = f"""WITH RECURSIVE {_P}, {_CHUNKS}, {_RARE},
     ok AS (SELECT doc_id FROM p JOIN q USING (term) GROUP BY doc_id HAVING count(DISTINCT term) = {len(set(_RANK))}),
-    x AS (SELECT p.doc_id, p.pos AS x, r FROM p JOIN rare ON p.term = rare.term JOIN ok ON ok.doc_id = p.doc_id),
+    x AS (SELECT p.doc_id, p.pos AS x, r FROM p JOIN ch ON ch.doc_id = p.doc_id JOIN rare ON p.term = rare.term AND rare.chunk_id = ch.chunk_id JOIN ok ON ok.doc_id = p.doc_id),
     n AS (SELECT x.doc_id, x.x, x.r, q.i, arg_min(p.pos, 2 * abs(p.pos - x.x) + CASE WHEN p.pos >= x.x THEN 1 ELSE 0 END) AS y
           FROM x, q JOIN p ON p.term = q.term WHERE p.doc_id = x.doc_id GROUP BY x.doc_id, x.x, x.r, q.i),
     o AS (SELECT *, (i < r AND y <= x) OR (i > r AND y >= x) AS fits FROM n),
@@ -361,11 +396,12 @@ def _any(u: str, words: tuple[str, ...], points: int) -> str:
 
 SQL = {
     "term_lookup": f"WITH {_P} SELECT doc_id, pos FROM p WHERE term = 'with'",
-    "and_query": f"WITH {_P} SELECT doc_id FROM documents d WHERE {_HAS.format('of')} AND {_HAS.format('with')}",
-    "or_query": f"WITH {_P} SELECT doc_id FROM documents d WHERE {_HAS.format('la')} OR {_HAS.format('und')}",
-    "not_query": f"WITH {_P} SELECT doc_id FROM documents d WHERE {_HAS.format('the')} AND NOT {_HAS.format('of')}",
+    "and_query": f"WITH {_P} SELECT doc_id FROM p GROUP BY doc_id HAVING {_HAS.format('of')} AND {_HAS.format('with')}",
+    "or_query": f"WITH {_P} SELECT doc_id FROM p GROUP BY doc_id HAVING {_HAS.format('la')} OR {_HAS.format('und')}",
+    "not_query": f"WITH {_P} SELECT doc_id FROM p GROUP BY doc_id HAVING {_HAS.format('the')} AND NOT {_HAS.format('of')}",
     "phrase_query": f"WITH {_P} SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'",
-    "nested_query": f"WITH {_P} SELECT doc_id FROM documents d WHERE ({_HAS.format('of')} OR {_HAS.format('und')}) AND {_HAS.format('with')} AND NOT ({_HAS.format('la')} OR {_HAS.format('in')})",
+    "nested_query": f"""WITH {_P} SELECT doc_id FROM p GROUP BY doc_id HAVING ({_HAS.format('of')} OR {_HAS.format('und')}) AND {_HAS.format('with')}
+        AND NOT ({_HAS.format('la')} OR {_HAS.format('in')})""",
     "title_query": rf"""WITH t AS (SELECT page_id, unnest(string_split_regex(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \n\t\r\f]+')) AS w FROM pages)
         SELECT DISTINCT page_id AS doc_id FROM t WHERE trim({_LOW.format("w")}, '.!?,)(#''";') = 'the'""",
     "inverted_index": f"WITH {_P} SELECT term, doc_id, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM p GROUP BY term, doc_id",
@@ -374,16 +410,15 @@ SQL = {
     "collection_freq": f"WITH {_P} SELECT term, count(*) AS cf FROM p GROUP BY term",
     "doc_freq": f"WITH {_P} SELECT term, count(DISTINCT doc_id) AS df FROM p GROUP BY term",
     "vocab_size": f"WITH {_P} SELECT count(DISTINCT term) AS n_terms, count(*) + (SELECT count(*) FROM documents) AS n_tokens FROM p",
-    "chunk_layout": f"""WITH {_P}, n AS (SELECT d.doc_id, count(p.term) AS doc_len FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY d.doc_id),
-        s AS (SELECT doc_id, doc_len, sum(doc_len + 1) OVER (ORDER BY doc_id) - doc_len - 1 AS start_ FROM n),
-        c AS (SELECT *, floor(start_ / 50001)::BIGINT AS chunk_id FROM s)
-        SELECT doc_id, chunk_id, (start_ - min(start_) OVER (PARTITION BY chunk_id))::BIGINT AS start_pos, doc_len FROM c""",
-    "rare_word": f"WITH {_P}, {_RARE} SELECT 0::BIGINT AS chunk_id, term AS rarest FROM rare",
+    "chunk_layout": f"WITH RECURSIVE {_P}, {_CHUNKS} SELECT doc_id, chunk_id, start_pos, doc_len FROM ch",
+    "index_write": f"""WITH RECURSIVE {_P}, {_CHUNKS}, n AS (SELECT doc_id, term, count(*) AS n, min(pos) AS first_pos FROM p GROUP BY doc_id, term)
+        SELECT chunk_id, term, doc_id, n, first_pos, start_pos, doc_len FROM n JOIN ch USING (doc_id)""",
+    "rare_word": f"WITH RECURSIVE {_P}, {_CHUNKS}, {_RARE} SELECT chunk_id, term AS rarest FROM rare",
     "nearest_pos": f"""WITH {_P}, a AS (SELECT doc_id, pos FROM p WHERE term = 'with'), b AS (SELECT doc_id, pos FROM p WHERE term = 'of')
         SELECT a.doc_id, a.pos, arg_min(b.pos, 2 * abs(b.pos - a.pos) + CASE WHEN b.pos >= a.pos THEN 1 ELSE 0 END) AS nearest
         FROM a LEFT JOIN b ON a.doc_id = b.doc_id GROUP BY a.doc_id, a.pos""",
     "span_score": f"{_SPAN} SELECT doc_id, round(score, 6) AS score FROM score",
-    "topk_search": f"{_SPAN} SELECT doc_id, round(score, 6) AS score FROM score WHERE score > 0 ORDER BY score.score DESC, doc_id LIMIT 10",
+    "topk_search": f"{_SPAN} SELECT doc_id, round(score, 6) AS score FROM score JOIN ch USING (doc_id) WHERE score > 0 ORDER BY score.score DESC, chunk_id, doc_id LIMIT 10",
     "url_score": f"""WITH u AS (SELECT page_id, url, {_PLACES} FROM pages)
         SELECT page_id, round(CASE WHEN {_REFUSED} THEN -1e20 ELSE {_any(_U, urls.TRUSTED, 78)} + {_any(_U, urls.SCORED_TLD, 75)} + {_any(_U, ("?",), -55)}
             - greatest({_SLASH} - 2, 0) - 3 * floor(sqrt(strlen(url))) + 800.0::DOUBLE * ({_COUNT}) * {_ORDER} END, 6)::DOUBLE AS score FROM u""",
@@ -392,7 +427,7 @@ SQL = {
     "plain_words": r"""SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '[!-/:-@\[-`{-~]', '', 'g'), '[^ \t\n\x0b\f\r]+'))::INTEGER AS n FROM documents""",
     "integer_functions": """WITH n AS (SELECT doc_id, strlen(text)::BIGINT AS n FROM documents) SELECT doc_id, floor(sqrt(n))::BIGINT AS root,
         (CASE WHEN n = 0 THEN 0 ELSE length(bin(n)) END)::BIGINT AS width, ((n + 7) // 8 * 8)::BIGINT AS aligned, greatest(1, (length(bin(n)) + 6) // 7)::BIGINT AS coded FROM n""",
-    "bloom_size": "SELECT floor(-1e8 * ln(1e-4) / (ln(2) * ln(2)))::BIGINT AS bits, 13::BIGINT AS hashes",
+    "bloom_size": "SELECT floor(-1e8 * ln(1e-4) / (ln(2) * ln(2)))::BIGINT AS bits, floor(floor(-1e8 * ln(1e-4) / (ln(2) * ln(2))) / 1e8 * ln(2))::BIGINT AS hashes",
     "decode_request": f"""SELECT page_id, {_LOW.format("'[' || replace(url, '/', ' ') || '\"%2b]'")} AS query FROM pages""",
     "strip_prefix": f"SELECT page_id, {_STRIP} AS stripped FROM pages",
     "hostname": f"SELECT page_id, {_HOST} AS host FROM pages",
@@ -405,10 +440,11 @@ SQL = {
     "blacklist_filter": f"SELECT page_id, {_IS_BARRED} AS barred FROM pages",
     "url_reject": f"SELECT page_id, {_REFUSED} AS refused FROM pages",
     "old_policy": f"SELECT page_id, {_LIKED} AS liked FROM pages",
-    "old_link_limits": f"""WITH a AS (SELECT page_id % 20 AS page_id, page_id AS no, url FROM pages WHERE {_LIKED}),
-        b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY no) <= 3) SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY no) <= 8""",
+    "old_link_limits": f"""WITH {_LINKS}, j AS (SELECT page_id, no, page_url, regexp_replace({_JOINED}, '/$', '') AS url FROM l),
+        a AS (SELECT page_id, no, url, {_OWN} = {_OWN.replace("(url", "(page_url")} AS own FROM j WHERE {_LIKED}),
+        b AS (SELECT * FROM a QUALIFY NOT own OR row_number() OVER (PARTITION BY page_id, own ORDER BY no) <= 3)
+        SELECT page_id, no, url FROM b QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY no) <= 8""",
     "url_join": f"WITH {_LINKS} SELECT page_id, no::INTEGER AS no, regexp_replace({_JOINED}, '/$', '') AS url FROM l",
-    "html_parse": None,
     "link_extract": rf"WITH {_LINKS} SELECT page_id, no, link AS url, trim(regexp_replace(anchor, '[ \n\t\r\f]+', ' ', 'g')) AS anchor FROM l",
     "links_kept": f"""WITH {_LINKS}, k AS (SELECT *, link AS url FROM l), m AS (SELECT * FROM k WHERE url <> '' AND NOT starts_with(url, '#') AND strlen(url) <= 400 AND NOT {_IS_BARRED}),
         j AS (SELECT page_id, no::INTEGER AS no, regexp_replace({_JOINED}, '/$', '') AS url FROM m) SELECT * FROM j WHERE NOT starts_with(url, 'http://')""",
@@ -417,7 +453,7 @@ SQL = {
     "visited_anti_join": f"SELECT page_id, url FROM pages WHERE {_KEY} NOT IN (SELECT {_KEY} FROM pages WHERE starts_with(url, 'https://'))",
     "host_cap": f"SELECT page_id, url FROM pages QUALIFY row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) <= CASE WHEN {_HOST} IN ({_TRUSTED}) THEN 40 ELSE 5 END",
     "frontier_pop": f"WITH {_PRIO} SELECT url, priority, page_id AS seq FROM pr WHERE priority >= 0 ORDER BY priority DESC, page_id LIMIT 50",
-    "frontier_level_cap": f"WITH {_PRIO} SELECT url, priority, page_id AS seq FROM pr WHERE priority >= 0 QUALIFY row_number() OVER (PARTITION BY priority ORDER BY page_id) <= 40",
+    "frontier_level_cap": f"WITH {_PRIO} SELECT url, priority, page_id AS seq FROM pr WHERE priority >= 0 QUALIFY row_number() OVER (PARTITION BY priority ORDER BY page_id) <= {crawl.LEVEL_CAP}",
     "robots_rules": f"WITH {_ROBOTS} SELECT * FROM ru",
     "robots_filter": rf"""WITH {_ROBOTS}, u AS (SELECT page_id, url, string_split({_STRIP}, '/')[1] AS host, nullif(regexp_extract(url, '^(?:https?://)?[^/]*(/.+)$', 1), '') AS route FROM pages)
         SELECT page_id, any_value(u.url) AS url, coalesce(arg_max(allow, rule_no), true) AS allowed
@@ -428,13 +464,24 @@ SQL = {
     "cumulative_by_server": "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 4095 AS docs FROM events",
     "rate_lag": """WITH e AS (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS b, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events)
         SELECT user_id AS server, CASE WHEN us - b > 0 THEN round(4095 * 1e6::DOUBLE / (us - b), 6) END AS rate FROM e WHERE n = 1""",
+    "rate_sum": """WITH n AS (SELECT max(epoch_us(ts)) - 3600000000 AS now_ FROM events),
+        e AS (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS b, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events)
+        SELECT round(coalesce(sum(4095 * 1e6::DOUBLE / (us - b)), 0), 4) AS rate, count(*) AS servers FROM e, n WHERE e.n = 1 AND us > b AND now_ - us <= 60000000""",
+    "rolling_hashes": """WITH RECURSIVE pw(i, x) AS (SELECT 0, 1::HUGEINT UNION ALL SELECT i + 1, x * 101 % 18446744073709551616 FROM pw WHERE i < (SELECT max(strlen(url)) FROM pages)),
+        b AS (SELECT page_id, hex(encode(url)) AS h FROM pages), c AS (SELECT page_id, h, unnest(range(length(h) // 2)) AS i FROM b),
+        d AS (SELECT page_id, i, ('0x' || substr(h, 2 * i + 1, 2))::BIGINT AS v FROM c),
+        s AS (SELECT page_id, (sum((CASE WHEN v > 127 THEN v - 256 ELSE v END) * x % 18446744073709551616) % 18446744073709551616 + 18446744073709551616) % 18446744073709551616 AS u FROM d JOIN pw USING (i) GROUP BY page_id)
+        SELECT page_id, (CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END)::BIGINT AS hash FROM s""",
+    "varint_round_trip": """WITH l AS (SELECT DISTINCT doc_id, strlen(unnest(string_split(text, chr(10))))::BIGINT AS n FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, n, CASE WHEN n < 128 THEN printf('%02X', n + 128) WHEN n < 16384 THEN printf('%02X%02X', n // 128, n % 128 + 128)
+            ELSE printf('%02X%02X%02X', n // 16384, n // 128 % 128, n % 128 + 128) END AS code,
+            (CASE WHEN n < 32 THEN 1 WHEN n < 8192 THEN 2 ELSE 3 END)::INTEGER AS prefixed, n AS back FROM l""",
     "total_docs": "SELECT count(*) * 4095 AS docs FROM events",
     "index_size": """WITH h AS (SELECT source, sum(strlen(text))::BIGINT AS b FROM documents GROUP BY source), t AS (SELECT sum(b)::BIGINT AS total, max(b) AS largest FROM h)
         SELECT total, largest, CASE WHEN total >= 1099511627776 THEN floor(total / 1099511627776)::BIGINT || 'T' WHEN total >= 1073741824 THEN floor(total / 1073741824)::BIGINT || 'G'
         WHEN total >= 1048576 THEN floor(total / 1048576)::BIGINT || 'M' WHEN total >= 1024 THEN floor(total / 1024)::BIGINT || 'K' WHEN total >= 1 THEN total || 'B' END AS total_text FROM t""",
     "not_ready": "SELECT DISTINCT user_id AS host FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE contains(event_type || ' ' || floor(value)::BIGINT::VARCHAR, 'purchase 10'))",
     "qrels_semi": f"WITH {_QRELS} SELECT * FROM qr WHERE url IN (SELECT doc_id::VARCHAR FROM documents WHERE n_chars > 1000)",
-    "rank_loss": f"""WITH {_QRELS}, r AS (SELECT lang AS query, doc_id::VARCHAR AS url, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id::VARCHAR) AS actual FROM documents
-        QUALIFY actual <= {LOSS_TOP}) SELECT qr.query, sum(pow(qr.rank - coalesce(actual, 100), 2)) AS loss FROM qr LEFT JOIN r USING (query, url) GROUP BY qr.query""",
+    "rank_loss": f"""WITH {_QRELS}, r AS (SELECT lang AS query, doc_id::VARCHAR AS url, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id::VARCHAR) AS actual FROM documents)
+        SELECT qr.query, sum(pow(qr.rank - coalesce(actual, 100), 2)) AS loss FROM qr LEFT JOIN r USING (query, url) GROUP BY qr.query""",
 }
-SQL = {k: v for k, v in SQL.items() if v}

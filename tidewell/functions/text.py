@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stripped from both ends of a word.
 PUNCTUATION = ".!?,)(#'\";"
+ESCAPES = (("%20", " "), ("%5B", "["), ("%5D", "]"), ("%22", '"'))
 SPACES = "[ \\n\\t\\r\\f]+"
 
 
@@ -36,11 +37,18 @@ def contains(s: Column, part: str, strict: bool = False) -> Column:
 
 def decode_request(q: Column) -> Column:
     """The four escapes that a search request may hold, then lower case; all others stay as they are."""
-    for code, c in (("%20", " "), ("%5B", "["), ("%5D", "]"), ("%22", '"')):
+    for code, c in ESCAPES:
         q = F.replace(q, F.lit(code), F.lit(c))
     return ascii_lower(q)
 
 
+def decoded(q: str) -> str:
+    """decode_request() of one string."""
+    for code, c in ESCAPES:
+        q = q.replace(code, c)
+    return q.translate(str.maketrans(UPPER, LOWER))
+
+
 def percent_decode(s: Column) -> Column:
     return F.try_url_decode(s)
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from .html import page_links, parse_pages
 from .robots import allowed
+from .store import stored
 
-LEVEL_CAP, PAGE_LINKS, SAME_DOMAIN_LINKS = 500_000, 8, 3
+LEVEL_CAP, PAGE_LINKS, SAME_DOMAIN_LINKS, OLD_QUEUE = 500_000, 8, 3, 500
 
 
 def discovered(parsed: DataFrame) -> DataFrame:
@@ -78,26 +79,63 @@ def old_link_limits(links: DataFrame, queued: int = 0, per_page: int = PAGE_LINK
     return liked.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("no"))).where(F.col("_n") <= per_page).drop("_n", "_own")
 
 
+def in_turn(urls: DataFrame, order: list[Column], after: DataFrame) -> DataFrame:
+    """urls with seq: their turn by the given order, behind all of after (seq)."""
+    last = after.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+    keyed = stored(urls.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "turns")
+    counts = keyed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = keyed.withColumn("_row", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return place.join(before, "_range").withColumn("seq", F.lit(last).cast("long") + F.col("_before") + F.col("_row")).select(*urls.columns, "seq")
+
+
 def crawl_round(frontier: DataFrame, visited: DataFrame, pages: DataFrame, robots: DataFrame, batch: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(parsed pages, frontier, visited) after one round: the best of the frontier are looked up in pages (page_id, url,
-    html), parsed, and their links admitted by host cap, visited set and robots."""
+    html), parsed, and their links admitted by host cap, visited set and robots. URLs that wait in the frontier hold their host's
+    slots until they are taken; new ones queue up behind the older ones, in the order of their pages and links."""
     taken = pop(frontier, batch)
     parsed = parse_pages(pages.join(taken.select("url"), "url", "left_semi"))
-    links = distinct_urls(discovered(parsed), [F.col("page_id"), F.col("no")])
-    fresh = allowed(unseen(links, visited), robots).where("allowed").drop("allowed")
-    admitted = capped_by_host(fresh, [F.col("page_id"), F.col("no")])
     rest = frontier.join(taken.select("url"), "url", "left_anti")
-    after = rest.unionByName(prioritized(admitted, F.monotonically_increasing_id()))
-    return parsed, capped_by_level(after), visited.unionByName(admitted.select("url"))
+    busy = rest.groupBy(U.hostname(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+    order = [F.col("page_id"), F.col("no")]
+    links = distinct_urls(discovered(parsed), order)
+    fresh = allowed(unseen(links, visited), robots).where("allowed").drop("allowed")
+    admitted = in_turn(capped_by_host(fresh, order, busy), order, frontier)
+    return parsed, capped_by_level(rest.unionByName(prioritized(admitted, F.col("seq")))), visited.unionByName(admitted.select("url"))
 
 
-def crawl(seeds: DataFrame, pages: DataFrame, robots: DataFrame, rounds: int, batch: int, store) -> DataFrame:
+def crawl(seeds: DataFrame, pages: DataFrame, robots: DataFrame, rounds: int, batch: int, store=stored, on_round=None, stop=None, state: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(page_id, round) of the pages met from seeds (url). store(df) cuts the lineage after each round: write it and
-    read it back, or checkpoint()."""
-    frontier, visited, met = store(prioritized(seeds, F.monotonically_increasing_id())), seeds, None
+    read it back, or checkpoint(). on_round(k, parsed, frontier, visited) is called after each round with what was stored, as a hook
+    for an index or a saved state; stop() is asked before each round and ends the crawl after whole rounds only. state is a
+    (frontier, visited) to go on from instead of seeds."""
+    empty = seeds.select(F.lit(0).cast("long").alias("seq")).limit(0)
+    frontier, visited = state or (store(prioritized(in_turn(seeds.select("url"), [F.col("url")], empty), F.col("seq"))), seeds.select("url"))
+    met = seeds.sparkSession.createDataFrame([], "page_id long, round int")
+    for k in range(rounds):
+        if stop is not None and stop():
+            break
+        parsed, frontier, visited = map(store, crawl_round(frontier, visited, pages, robots, batch))
+        met = met.unionByName(parsed.select("page_id", F.lit(k).alias("round")))
+        if on_round is not None:
+            on_round(k, parsed, frontier, visited)
+    return met
+
+
+def old_crawl(seeds: DataFrame, pages: DataFrame, rounds: int, batch: int, store=stored, queue_cap: int = OLD_QUEUE) -> DataFrame:
+    """(page_id, round) of the older crawler's loop: a queue in turn without priorities, each URL once, its link limits by page, and
+    no more than queue_cap URLs waiting."""
+    empty = seeds.select(F.lit(0).cast("long").alias("seq")).limit(0)
+    queue, seen = store(in_turn(seeds.select("url"), [F.col("url")], empty)), seeds.select("url")
+    met = seeds.sparkSession.createDataFrame([], "page_id long, round int")
     for k in range(rounds):
-        parsed, frontier, visited = crawl_round(frontier, visited, pages, robots, batch)
-        parsed, frontier, visited = store(parsed), store(frontier), store(visited)
-        now = parsed.select("page_id", F.lit(k).alias("round"))
-        met = now if met is None else met.unionByName(now)
+        taken = queue.orderBy("seq").limit(batch)
+        parsed = store(parse_pages(pages.join(taken.select("url"), "url", "left_semi")))
+        rest = queue.join(taken.select("url"), "url", "left_anti")
+        links = page_links(parsed).withColumn("url", U.drop_last_slash(U.url_join("page_url", "url")))
+        order = [F.col("page_id"), F.col("no")]
+        fresh = unseen(distinct_urls(old_link_limits(links).select("page_id", "no", "url"), order), seen)
+        after = store(rest.select("url", "seq").unionByName(in_turn(fresh, order, queue).select("url", "seq")).orderBy("seq").limit(queue_cap))
+        seen = store(seen.unionByName(after.join(rest.select("url"), "url", "left_anti").select("url")))
+        queue, met = after, met.unionByName(parsed.select("page_id", F.lit(k).alias("round")))
     return met

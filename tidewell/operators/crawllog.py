@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import stored
+
 LINE_DOCS, TRAIL_S, STALE_S = 4095, 300, 60
 
 
@@ -14,15 +16,16 @@ def micros(ts: str = "ts") -> Column:
 
 def cumulative(log: DataFrame, by: str | None = None) -> DataFrame:
     """log with docs: documents so far, of the server (by) or of all. Over all, lines are numbered within ranges of ts
-    and the ranges' counts are added, so no one task sees the whole log."""
+    and the ranges' counts are added, so no one task sees the whole log. The ranges are written down once, so that numbers and
+    counts see the same ones."""
     if by:
         return log.withColumn("docs", F.row_number().over(Window.partitionBy(by).orderBy("ts", *[c for c in log.columns if c not in (by, "ts")])) * F.lit(LINE_DOCS).cast("long"))
     order = ["ts", *[c for c in log.columns if c != "ts"]]
-    part = log.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    part = stored(log.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "log")
     counts = part.groupBy("_range").agg(F.count("*").alias("_n"))
     before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     row = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return part.join(F.broadcast(before), "_range").withColumn("docs", (F.col("_before") + row) * LINE_DOCS).drop("_range", "_before")
+    return part.withColumn("_row", row).join(before, "_range").withColumn("docs", (F.col("_before") + F.col("_row")) * LINE_DOCS).drop("_range", "_before", "_row")
 
 
 def trailing_rate(log: DataFrame, by: str | None = None) -> DataFrame:
@@ -48,6 +51,12 @@ def last_rate(log: DataFrame, now_us: int | None = None) -> DataFrame:
     return last.select("server", rate.alias("rate"), (F.lit(now_us) - F.col("us") > STALE_S * 1_000_000 if now_us is not None else F.lit(False)).alias("stale"))
 
 
+def summed_rate(log: DataFrame, now_us: int | None = None) -> DataFrame:
+    """(rate, servers): the last rates of all servers that aren't stale and have one, added up."""
+    fresh = last_rate(log, now_us).where("rate IS NOT NULL AND NOT stale")
+    return fresh.agg(F.coalesce(F.sum("rate"), F.lit(0.0)).alias("rate"), F.count("*").alias("servers"))
+
+
 def total_docs(log: DataFrame) -> DataFrame:
     return log.agg((F.count("*") * LINE_DOCS).alias("docs"))
 

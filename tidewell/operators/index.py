@@ -1,20 +1,27 @@
 """The positional inverted index, as DataFrames.
 
-docs      chunk_id, doc_id, url, doc_len, body ARRAY<STRING>, title ARRAY<STRING>   (terms, normalized)
+docs      chunk_id, doc_id, url, doc_len, body ARRAY<STRING>, title ARRAY<STRING>   (terms, normalized); doc_id is unique
 postings  chunk_id, doc_id, term, pos       title terms are word#, after the body in one position space
 index     chunk_id, term, doc_id, positions ARRAY<BIGINT>: the stored form, in the order of term
+terms     chunk_id, term, cf, df: stored beside it
 
 Positions count from the document's first word, so no phrase crosses documents; chunk and start are added where asked for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import terms, terms_of
 
 CHUNK_TOKENS = 30_000_000
+#: Bytes of a row group of the stored postings: a lookup reads few of them.
+ROW_GROUP = 8 << 20
 
 
 def docs_of_texts(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,32 +36,55 @@ def docs_of_pages(parsed: DataFrame) -> DataFrame:
 
 
 def _docs(df: DataFrame) -> DataFrame:
-    return df.withColumn("doc_len", (F.size("body") + F.size("title")).cast("long"))
-
-
-def chunked(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """docs with chunk_id and start_pos: documents in the order of doc_id fill a chunk until it holds more than `tokens`
-    (each with one for its end). Running sums go by ranges of doc_id: a sum within each and an offset from the sums of
-    those before, so that no one task sees all documents."""
-    spark, cols = docs.sparkSession, [c for c in docs.columns if c not in ("chunk_id", "start_pos")]
-    part = docs.repartitionByRange(F.col("doc_id")).withColumn("range", F.spark_partition_id())
-    sums = part.groupBy("range").agg(F.sum(F.col("doc_len") + 1).alias("size"))
-    before = sums.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = Window.partitionBy("range").orderBy("doc_id")
-    start = F.col("before") + F.sum(F.col("doc_len") + 1).over(within) - F.col("doc_len") - 1
-    out = part.join(F.broadcast(before), "range").withColumn("start", start)
-    chunk = F.floor(F.col("start") / F.lit(tokens + 1)).cast("long")
-    out = out.withColumn("chunk_id", chunk)
-    first = F.min("start").over(Window.partitionBy("chunk_id"))
-    return out.withColumn("start_pos", F.col("start") - first).select("chunk_id", *cols, "start_pos")
+    words = lambda c: F.coalesce(F.size(c), F.lit(0))
+    return df.withColumn("doc_len", (words("body") + words("title")).cast("long"))
+
+
+def _cut(tokens: int, servers: int):
+    """Rows (server, doc_id, doc_len) in order -> (doc_id, chunk_id, start_pos). A chunk is closed by the document with which it
+    comes to hold more than `tokens`; the next document starts a new one at 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, no, held = None, 0, 0
+        for b in batches:
+            server, ids, sizes = b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy() + 1
+            chunk, start = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+            edges = [*np.flatnonzero(np.r_[True, server[1:] != server[:-1]]).tolist(), len(server)] if len(server) else []
+            for i, end in zip(edges, edges[1:], strict=False):
+                if server[i] != last:
+                    last, no, held = server[i], 0, 0
+                total = np.cumsum(sizes[i:end])
+                at = before = 0
+                while i + at < end:
+                    stop = min(int(np.searchsorted(total, before + tokens - held, side="right")) + 1, end - i)
+                    chunk[i + at : i + stop] = no * servers + last
+                    start[i + at : i + stop] = held - before + total[at:stop] - sizes[i + at : i + stop]
+                    held, before, at = held + int(total[stop - 1]) - before, int(total[stop - 1]), stop
+                    if held > tokens:
+                        no, held = no + 1, 0
+            yield pa.RecordBatch.from_arrays([ids, pa.array(chunk), pa.array(start)], ["doc_id", "chunk_id", "start_pos"])
+
+    return run
+
+
+def chunked(docs: DataFrame, tokens: int = CHUNK_TOKENS, servers: int = 1) -> DataFrame:
+    """docs with chunk_id and start_pos. Documents are dealt to servers by doc_id; on each, in the order of doc_id, they fill a
+    chunk until it holds more than `tokens` (each with one for its end). chunk_id is no * servers + server. Only ids and lengths
+    are ordered, one server's in one task that reads them as a stream; bodies are joined to the result by doc_id."""
+    cols = [c for c in docs.columns if c not in ("chunk_id", "start_pos")]
+    sizes = docs.select(F.pmod("doc_id", F.lit(servers)).cast("long").alias("server"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("doc_len", F.lit(0)).cast("long").alias("doc_len"))
+    places = sizes.repartition("server").sortWithinPartitions("server", "doc_id").mapInArrow(_cut(tokens, servers), "doc_id long, chunk_id long, start_pos long")
+    return docs.select(*cols).join(places, "doc_id").select("chunk_id", *cols, "start_pos")
 
 
 def postings(docs: DataFrame, only: list[str] | None = None) -> DataFrame:
     """(chunk_id, doc_id, term, pos) of all terms, or of the given ones, which are picked out before rows multiply."""
-    titled = F.transform("title", lambda w: F.concat(w, F.lit("#")))
-    flat = docs.select("chunk_id", "doc_id", F.posexplode(F.concat("body", titled)).alias("pos", "term"))
-    if only is not None:
-        flat = flat.where(F.col("term").isin(*only))
+    words = F.concat("body", F.transform("title", lambda w: F.concat(w, F.lit("#"))))
+    if only is None:
+        flat = docs.select("chunk_id", "doc_id", F.posexplode(words).alias("pos", "term"))
+    else:
+        placed = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("term"))), lambda x: x.getField("term").isin(*only))
+        flat = docs.select("chunk_id", "doc_id", F.explode(placed).alias("p")).select("chunk_id", "doc_id", "p.pos", "p.term")
     return flat.select("chunk_id", "doc_id", "term", F.col("pos").cast("long").alias("pos"))
 
 
@@ -64,10 +94,14 @@ def inverted(posts: DataFrame) -> DataFrame:
 
 
 def write_index(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """docs/ and postings/ below path, by chunk; postings in the order of term, so that a lookup reads few row groups."""
-    docs.write.mode(mode).partitionBy("chunk_id").parquet(f"{path}/docs")
-    posts = inverted(postings(docs)).repartitionByRange("chunk_id", "term", "doc_id").sortWithinPartitions("chunk_id", "term", "doc_id")
-    posts.write.mode(mode).partitionBy("chunk_id").parquet(f"{path}/postings")
+    """docs/ (without bodies), postings/ and terms/ below path. Postings lie in the order of term over all files, so that the
+    term of a lookup is pushed down to few row groups; a term of very many documents goes over several files."""
+    spark = docs.sparkSession
+    docs.drop("body", "title").write.mode(mode).parquet(f"{path}/docs")
+    posts = inverted(postings(docs)).repartitionByRange("term", "chunk_id", "doc_id").sortWithinPartitions("term", "chunk_id", "doc_id")
+    posts.write.mode(mode).option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
+    counts = spark.read.parquet(f"{path}/postings").groupBy("term", "chunk_id").agg(F.sum(F.size("positions")).alias("cf"), F.count("*").alias("df"))
+    counts.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -75,6 +109,11 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings")
 
 
+def read_terms(spark: SparkSession, path: str) -> DataFrame:
+    """terms of a stored index."""
+    return spark.read.parquet(f"{path}/terms")
+
+
 def term_stats(posts: DataFrame) -> DataFrame:
     """(chunk_id, term, cf, df): occurrences, and documents that have the term."""
     per = posts.groupBy("chunk_id", "term", "doc_id").agg(F.count("*").alias("n"))
@@ -90,8 +129,8 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 class IndexBuilder:
     """Collects pages and documents and writes them as chunks."""
 
-    def __init__(self, tokens: int = CHUNK_TOKENS) -> None:
-        self.tokens, self.docs = tokens, None
+    def __init__(self, tokens: int = CHUNK_TOKENS, servers: int = 1) -> None:
+        self.tokens, self.servers, self.docs = tokens, servers, None
 
     def add(self, docs: DataFrame) -> IndexBuilder:
         self.docs = docs if self.docs is None else self.docs.unionByName(docs)
@@ -105,4 +144,4 @@ class IndexBuilder:
 
     def write(self, path: str) -> None:
         if self.docs is not None:
-            write_index(chunked(self.docs, self.tokens), path)
+            write_index(chunked(self.docs, self.tokens, self.servers), path)

@@ -1,4 +1,4 @@
-"""Explicit schemas of the engine's tables."""
+"""Explicit schemas of the library's tables."""
 
 from pyspark.sql import types as T
 

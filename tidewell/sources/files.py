@@ -1,4 +1,4 @@
-"""Readers and writers of the engine's files, all with explicit schemas."""
+"""Readers and writers of the library's files, all with explicit schemas."""
 
 from __future__ import annotations
 
@@ -45,6 +45,15 @@ def write_frontier(rows: DataFrame, path: str) -> None:
     rows.select("url", "priority", "seq").write.mode("overwrite").parquet(path)
 
 
+def visited(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("url string").parquet(path)
+
+
+def write_visited(rows: DataFrame, path: str) -> None:
+    """The visited set as its URLs, exact where a filter of bits would err."""
+    rows.select("url").distinct().write.mode("overwrite").parquet(path)
+
+
 def word_url_stream(lines_: DataFrame) -> DataFrame:
     """(kind, value) of lines `1 word` and `0 url`, from a batch or a stream (value)."""
     return lines_.select(F.when(F.col("value").startswith("1 "), "word").when(F.col("value").startswith("0 "), "url").alias("kind"), F.substring("value", 3, 1 << 30).alias("value")).where("kind IS NOT NULL")
