@@ -84,6 +84,42 @@ def test_page_source(spark):
     assert spark.read.format("web_pages").option("urls", "https://127.0.0.1/x").option("timeout", "0.2").load().count() == 0
 
 
+def test_fetching(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from tidewell.sources.fetch import PageSource, RobotsSource
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):
+            body = {"/a?x=1": b"<p>h\xc3\xa9</p>", "/robots.txt": b"User-agent: *\nDisallow: /b\n" + b"#" * 20_000}.get(self.path)
+            self.send_response(200 if body else 404)
+            self.send_header("Content-Type", "text/html; charset=utf-8" if self.path.startswith("/a") else "text/plain")
+            self.end_headers()
+            self.wfile.write(body or b"no")
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(PageSource)
+    spark.dataSource.register(RobotsSource)
+    read = lambda kind, urls: spark.read.format(kind).option("urls", urls).option("port", server.server_port).option("tls", "false").option("timeout", "5").load().collect()
+    assert [tuple(r) for r in read("web_pages", "https://127.0.0.1/a?x=1\nhttps://127.0.0.1/text")] == [("https://127.0.0.1/a?x=1", "<p>h\u00e9</p>")]
+    (robots_,) = read("robots_files", "127.0.0.1")
+    assert robots_.host == "127.0.0.1" and robots_.text.startswith("User-agent: *") and len(robots_.text) == 16 * 1024
+    server.shutdown()
+
+
+def test_older_readers(spark):
+    from tidewell.operators import html
+
+    rows = [(1, 200, "text/html; x", "<html lang='en-US'><script>no</script>Hi, <b>You</b>"), (2, 404, "text/html", "x"), (3, 200, "text/plain", "x"), (4, 200, "text/html", '<HTML class="a" lang="fr">x'), (5, 200, "text/html", "<p>x<!-- y --></p>"), (6, 200, None, "x")]
+    got = html.readable(spark.createDataFrame(rows, "id long, status int, content_type string, html string")).select("id", html.plain_text(F.col("html")).alias("t")).collect()
+    assert {r.id: r.t.split() for r in got} == {1: ["Hi,", "You"], 5: ["x"]}
+
+
 def test_streams(spark, tmp_path):
     def table(name, rows, schema):
         for k, part in enumerate(rows):
@@ -103,3 +139,9 @@ def test_streams(spark, tmp_path):
     assert spark.table("rates").agg(F.max("rate")).first()[0] == 5 * 4095 / 300
     stream.written(stream.log_lines(log), "lines", str(tmp_path / "c4"), "complete")
     assert spark.table("lines").first().lines == 0
+    many = table("d", [[("s",)] * 5_000, [("s",)] * 4_000, [("t",)] * 10], "server string")
+    stream.written(stream.log_lines(many), "many", str(tmp_path / "c5"), "complete")
+    assert {r.server: r.lines for r in spark.table("many").collect()} == {"s": 2, "t": 0}
+    met = []
+    stream.each_batch(table("h", [[("u1",)], [("u2",), ("u3",)]], "url string"), lambda rows, no: met.append(sorted(r.url for r in rows.collect())), str(tmp_path / "c6"))
+    assert sorted(met) == [["u1"], ["u2", "u3"]]

@@ -324,30 +324,54 @@ _P = rf"""
     p AS MATERIALIZED (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM w2 WHERE term <> '')"""
 _HAS = "bool_or(term = '{}')"
 _RANK = Q_RANK.split()
-_CHUNKS = f"""
-    sz AS (SELECT d.doc_id, d.doc_id % {SERVERS} AS server, count(p.term) AS doc_len FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY d.doc_id),
+#: The pages' terms by patterns instead of a state machine: body words, then title words with #, in one position space.
+_PAGE_P = rf"""
+    g0 AS (SELECT page_id AS doc_id, regexp_extract_all(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<title>[^<]*</title>|<!--.*?-->|<[^>]*>', ' ', 'g'), '[^ \n\t\r\f]+') AS ws,
+        regexp_extract_all(regexp_extract(html, '<title>([^<]*)</title>', 1), '[^ \n\t\r\f]+') AS ts FROM pages),
+    g1 AS (SELECT doc_id, unnest(ws) AS raw, unnest(range(len(ws))) AS i, '' AS mark FROM g0 UNION ALL SELECT doc_id, unnest(ts), unnest(range(len(ts))) + len(ws), '#' FROM g0),
+    g2 AS (SELECT doc_id, trim({_LOW.format("raw")}, '.!?,)(#'';"') AS term, i, mark FROM g1),
+    p AS MATERIALIZED (SELECT doc_id, term || mark AS term, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM g2 WHERE term <> '')"""
+
+
+def _chunks(docs: str, key: str) -> str:
+    """CTEs that cut the documents of a table into chunks, by their terms p."""
+    return f"""
+    sz AS (SELECT d.{key} AS doc_id, d.{key} % {SERVERS} AS server, count(p.term) AS doc_len FROM {docs} d LEFT JOIN p ON p.doc_id = d.{key} GROUP BY d.{key}),
     st AS MATERIALIZED (SELECT *, (sum(doc_len + 1) OVER (PARTITION BY server ORDER BY doc_id) - doc_len - 1)::BIGINT AS start_ FROM sz),
     ck(server, no, first_) AS (SELECT DISTINCT server, 0::BIGINT, 0::BIGINT FROM st UNION ALL
         SELECT st.server, ck.no + 1, min(st.start_) FROM ck JOIN st ON st.server = ck.server AND st.start_ > ck.first_ + {CHUNK} GROUP BY st.server, ck.no),
     ch AS MATERIALIZED (SELECT doc_id, doc_len, max(no) * {SERVERS} + st.server AS chunk_id, start_ - max(first_) AS start_pos
         FROM st JOIN ck ON st.server = ck.server AND first_ <= start_ GROUP BY doc_id, doc_len, st.server, start_)"""
-_RARE = f"""
-    q(term, i) AS (VALUES {", ".join(f"('{w}', {i})" for i, w in enumerate(_RANK))}),
+
+
+def _rare(words: list[str]) -> str:
+    """CTEs that find each chunk's rarest word."""
+    return f"""
+    q(term, i) AS (VALUES {", ".join(f"('{w}', {i})" for i, w in enumerate(words))}),
     cf AS (SELECT chunk_id, i, term, count(*) AS n FROM p JOIN q USING (term) JOIN ch USING (doc_id) GROUP BY chunk_id, i, term),
     rare AS (SELECT chunk_id, i AS r, term FROM cf QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY n, i) = 1)"""
-_SPAN = f"""WITH RECURSIVE {_P}, {_CHUNKS}, {_RARE},
-    ok AS (SELECT doc_id FROM p JOIN q USING (term) GROUP BY doc_id HAVING count(DISTINCT term) = {len(set(_RANK))}),
-    x AS (SELECT p.doc_id, p.pos AS x, r FROM p JOIN ch ON ch.doc_id = p.doc_id JOIN rare ON p.term = rare.term AND rare.chunk_id = ch.chunk_id JOIN ok ON ok.doc_id = p.doc_id),
-    n AS (SELECT x.doc_id, x.x, x.r, q.i, arg_min(p.pos, 2 * abs(p.pos - x.x) + CASE WHEN p.pos >= x.x THEN 1 ELSE 0 END) AS y
-          FROM x, q JOIN p ON p.term = q.term WHERE p.doc_id = x.doc_id GROUP BY x.doc_id, x.x, x.r, q.i),
-    o AS (SELECT *, (i < r AND y <= x) OR (i > r AND y >= x) AS fits FROM n),
-    two AS (SELECT doc_id, x, sum((CASE WHEN fits THEN 1.0::DOUBLE ELSE 0.5 END) / greatest(abs(y - x), 1)) AS s FROM o WHERE i <> r GROUP BY doc_id, x),
-    three AS (SELECT a.doc_id, a.x, sum((CASE WHEN (b.i < a.r AND b.y <= a.x AND a.y <= b.y) OR (b.i > a.r AND b.y >= a.x AND a.fits) THEN 1.0::DOUBLE ELSE 0.5 END)
+
+
+def _span(words: list[str], mark: str = "", every: bool = True) -> str:
+    """CTEs that score the documents (those with every word, or all) by the nearness of body words, or with the mark # of title words."""
+    t = "title_" if mark else "body_"
+    return f"""
+    {t}ok AS (SELECT doc_id FROM p JOIN q USING (term) GROUP BY doc_id HAVING count(DISTINCT term) = {len(set(words))} OR {not every}),
+    {t}x AS (SELECT p.doc_id, p.pos AS x, r FROM p JOIN ch ON ch.doc_id = p.doc_id JOIN rare ON p.term = rare.term || '{mark}' AND rare.chunk_id = ch.chunk_id {"" if not every else f"JOIN {t}ok ON {t}ok.doc_id = p.doc_id"}),
+    {t}n AS (SELECT x.doc_id, x.x, x.r, q.i, arg_min(p.pos, 2 * abs(p.pos - x.x) + CASE WHEN p.pos >= x.x THEN 1 ELSE 0 END) AS y
+          FROM {t}x x, q JOIN p ON p.term = q.term || '{mark}' WHERE p.doc_id = x.doc_id GROUP BY x.doc_id, x.x, x.r, q.i),
+    {t}o AS (SELECT *, (i < r AND y <= x) OR (i > r AND y >= x) AS fits FROM {t}n),
+    {t}two AS (SELECT doc_id, x, sum((CASE WHEN fits THEN 1.0::DOUBLE ELSE 0.5 END) / greatest(abs(y - x), 1)) AS s FROM {t}o WHERE i <> r GROUP BY doc_id, x),
+    {t}three AS (SELECT a.doc_id, a.x, sum((CASE WHEN (b.i < a.r AND b.y <= a.x AND a.y <= b.y) OR (b.i > a.r AND b.y >= a.x AND a.fits) THEN 1.0::DOUBLE ELSE 0.5 END)
               / greatest(greatest(a.y, b.y, a.x) - least(a.y, b.y, a.x), 1)) AS s
-              FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i WHERE a.i <> a.r AND b.i <> b.r GROUP BY a.doc_id, a.x),
-    span AS (SELECT doc_id, x, CASE WHEN count(*) = {len(_RANK)} AND max(y) > min(y) THEN 1.0::DOUBLE / (max(y) - min(y)) ELSE 0 END AS s FROM o GROUP BY doc_id, x),
-    score AS (SELECT span.doc_id, sum((coalesce(two.s, 0) + coalesce(three.s, 0) + span.s) / pow(1.05::DOUBLE, span.x)) AS score
-              FROM span LEFT JOIN two USING (doc_id, x) LEFT JOIN three USING (doc_id, x) GROUP BY span.doc_id)"""
+              FROM {t}o a JOIN {t}o b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i WHERE a.i <> a.r AND b.i <> b.r GROUP BY a.doc_id, a.x),
+    {t}span AS (SELECT doc_id, x, CASE WHEN count(*) = {len(words)} AND max(y) > min(y) THEN 1.0::DOUBLE / (max(y) - min(y)) ELSE 0 END AS s FROM {t}o GROUP BY doc_id, x),
+    {t}score AS (SELECT span.doc_id, sum((coalesce(two.s, 0) + coalesce(three.s, 0) + span.s) / pow(1.05::DOUBLE, span.x)) AS score
+              FROM {t}span span LEFT JOIN {t}two two USING (doc_id, x) LEFT JOIN {t}three three USING (doc_id, x) GROUP BY span.doc_id)"""
+
+
+_CHUNKS, _RARE = _chunks("documents", "doc_id"), _rare(_RANK)
+_SPAN = f"WITH RECURSIVE {_P}, {_CHUNKS}, {_RARE}, {_span(_RANK)}"
 _ENDS = lambda u, w: f"(instr(substr({u}, 1, length({u}) - 1), '{w}') > 0)"
 _STRIP = "regexp_replace(url, '^(https?://)?(www\\.)?', '')"
 _KEY = _LOW.format(_STRIP)
@@ -394,6 +418,20 @@ def _any(u: str, words: tuple[str, ...], points: int) -> str:
     return f"CASE WHEN {' OR '.join(_ENDS(u, w) for w in words)} THEN {points}.0::DOUBLE ELSE 0 END"
 
 
+def _url_points() -> str:
+    return f"""CASE WHEN {_REFUSED} THEN -1e20 ELSE {_any(_U, urls.TRUSTED, 78)} + {_any(_U, urls.SCORED_TLD, 75)} + {_any(_U, ("?",), -55)}
+            - greatest({_SLASH} - 2, 0) - 3 * floor(sqrt(strlen(url))) + 800.0::DOUBLE * ({_COUNT}) * {_ORDER} END"""
+
+
+_PAGE_WORDS = qlang.rank_words(qlang.parse(PAGE_QUERY))
+_PAGE_SEARCH = f"""WITH RECURSIVE {_PAGE_P}, {_chunks("pages", "page_id")}, {_rare(_PAGE_WORDS)}, {_span(_PAGE_WORDS, every=False)}, {_span(_PAGE_WORDS, "#", every=False)},
+    hit AS (SELECT DISTINCT doc_id FROM p WHERE term IN ({", ".join(f"'{w}', '{w}#'" for w in _PAGE_WORDS)})),
+    u AS (SELECT page_id AS doc_id, url, {", ".join(f"instr({_U}, '{w}') - 1 AS p{i}" for i, w in enumerate(_PAGE_WORDS))} FROM pages),
+    s AS (SELECT doc_id, url, chunk_id, coalesce(body_score.score, 0) + 30 * coalesce(title_score.score, 0) + {_url_points()} AS score
+        FROM hit JOIN u USING (doc_id) JOIN ch USING (doc_id) LEFT JOIN body_score USING (doc_id) LEFT JOIN title_score USING (doc_id)),
+    best AS (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, chunk_id, doc_id LIMIT 10)"""
+
+
 SQL = {
     "term_lookup": f"WITH {_P} SELECT doc_id, pos FROM p WHERE term = 'with'",
     "and_query": f"WITH {_P} SELECT doc_id FROM p GROUP BY doc_id HAVING {_HAS.format('of')} AND {_HAS.format('with')}",
@@ -417,11 +455,13 @@ SQL = {
     "nearest_pos": f"""WITH {_P}, a AS (SELECT doc_id, pos FROM p WHERE term = 'with'), b AS (SELECT doc_id, pos FROM p WHERE term = 'of')
         SELECT a.doc_id, a.pos, arg_min(b.pos, 2 * abs(b.pos - a.pos) + CASE WHEN b.pos >= a.pos THEN 1 ELSE 0 END) AS nearest
         FROM a LEFT JOIN b ON a.doc_id = b.doc_id GROUP BY a.doc_id, a.pos""",
-    "span_score": f"{_SPAN} SELECT doc_id, round(score, 6) AS score FROM score",
-    "topk_search": f"{_SPAN} SELECT doc_id, round(score, 6) AS score FROM score JOIN ch USING (doc_id) WHERE score > 0 ORDER BY score.score DESC, chunk_id, doc_id LIMIT 10",
-    "url_score": f"""WITH u AS (SELECT page_id, url, {_PLACES} FROM pages)
-        SELECT page_id, round(CASE WHEN {_REFUSED} THEN -1e20 ELSE {_any(_U, urls.TRUSTED, 78)} + {_any(_U, urls.SCORED_TLD, 75)} + {_any(_U, ("?",), -55)}
-            - greatest({_SLASH} - 2, 0) - 3 * floor(sqrt(strlen(url))) + 800.0::DOUBLE * ({_COUNT}) * {_ORDER} END, 6)::DOUBLE AS score FROM u""",
+    "span_score": f"{_SPAN} SELECT doc_id, round(score, 6) AS score FROM body_score",
+    "topk_search": f"{_SPAN} SELECT doc_id, round(score, 6) AS score FROM body_score JOIN ch USING (doc_id) WHERE score > 0 ORDER BY body_score.score DESC, chunk_id, doc_id LIMIT 10",
+    "url_score": f"WITH u AS (SELECT page_id, url, {_PLACES} FROM pages) SELECT page_id, round({_url_points()}, 6)::DOUBLE AS score FROM u",
+    "page_search": f"{_PAGE_SEARCH} SELECT doc_id, url, round(score, 6)::DOUBLE AS score FROM best",
+    "results_json": f"{_PAGE_SEARCH} SELECT to_json(list(url ORDER BY round(score, 6) DESC, doc_id))::VARCHAR AS json FROM best WHERE url <> ''",
+    "html_parse": f"""WITH {_PAGE_P} SELECT g0.doc_id AS page_id, len(ws)::INTEGER AS n_words, array_to_string(ts, ' ') AS title,
+        len(regexp_extract_all(html, '<a href="'))::INTEGER AS n_links, '' AS base FROM g0 JOIN pages ON page_id = g0.doc_id""",
     "stopword_shortcut": "SELECT unnest([" + ", ".join(f"'{p}the'" for p in search.REFERENCE_PAGES) + "]) AS url",
     "normalize_words": f"WITH {_P} SELECT term, count(*) AS n FROM p GROUP BY term",
     "plain_words": r"""SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '[!-/:-@\[-`{-~]', '', 'g'), '[^ \t\n\x0b\f\r]+'))::INTEGER AS n FROM documents""",

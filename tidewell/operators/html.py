@@ -131,6 +131,18 @@ def is_html(header: Column) -> Column:
     return F.instr(ascii_lower(header), "content-type: text/html") > 0
 
 
+def readable(responses: DataFrame) -> DataFrame:
+    """The older page readers' gate over responses (status, content_type, html ...): answered with 200, as HTML, in English as far as
+    the page's own tag says a language."""
+    lang = F.lower(F.regexp_extract("html", r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?\s*([^\"'\s>]*)", 1))
+    return responses.where((F.col("status") == 200) & F.contains(F.coalesce("content_type", F.lit("")), F.lit("text/html")) & ((lang == "") | lang.startswith("en")))
+
+
+def plain_text(html: Column) -> Column:
+    """What the older page readers keep of a page: its text without scripts, styles, comments and tags."""
+    return F.btrim(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " "))
+
+
 def is_english(html: Column) -> Column:
     return F.instr(ascii_lower(html), 'lang="en"') > 0
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +53,11 @@ def log_lines(docs: DataFrame) -> DataFrame:
     return docs.groupBy("server").agg(F.floor(F.count("*") / LINE_DOCS).alias("lines"))
 
 
+def each_batch(stream: DataFrame, hook: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Calls hook(rows, number) with each micro-batch of what is there now: the place of a callback per received URL."""
+    stream.writeStream.foreachBatch(hook).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def replayed(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
     """A stored table as a stream, so many files a micro-batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
