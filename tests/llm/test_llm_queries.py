@@ -12,7 +12,7 @@ def test_query(spark, duck, data_dir, name):
     if name in catalog.SQL:
         same_rows(df, duck.sql(catalog.SQL[name]))
     else:
-        assert df.count() >= 0
+        assert df.count() > 0 or name == "op10_secret_scan"  # the smallest tables hold no credential; test_secret_words has a table that does
 
 
 def test_ten_operators():

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.store import shared_dir
+
 #: A word is a run of characters other than these six ASCII spaces, in Spark, in DuckDB and (as bytes.split) in Python.
 WORD = r"[^ \t\n\x0b\f\r]+"
 #: Beyond this many rows a side that is counted first is joined by shuffle instead of broadcast.
@@ -38,22 +38,18 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
     return out
 
 
+def others(df: DataFrame, *names: str | None) -> list[str]:
+    """The columns of df whose names, compared without case, aren't among the given ones."""
+    taken = {n.lower() for n in names if n}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def words(text: Column) -> Column:
     """Number of words; 0 where the text is null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that all executors share; a folder of this run's own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidewell-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet into the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell-{uuid.uuid4().hex}"

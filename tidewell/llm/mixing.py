@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, at, fresh, read, small, stored, words
+from .common import WORD, at, fresh, others, read, small, stored, words
 
 WEIGHTS, DEFAULT_WEIGHT, SEED = {"src0": 300}, 36, 17
 
@@ -32,7 +32,8 @@ def source_rates(docs: DataFrame, weights: dict[str, int], default_weight: int,
 
 
 def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, seed: int = SEED, target_tokens: int | None = None, copy_col: str | None = None) -> DataFrame:
-    """The documents, each as often as its source's rate says; copy_col, if given, numbers the copies of a row from 1.
+    """The documents, each as often as its source's rate says; copy_col, if given, numbers the copies of a row from 1 (in place of a
+    column of that name).
 
     The rates are one row a source and are broadcast only if they are few; the documents then stay where they are."""
     key, rate, copies, no = fresh(docs, "source", "rate", "copies", "copy")
@@ -43,7 +44,7 @@ def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default_weight: int
     out = docs.withColumn(key, F.coalesce(at("source"), F.lit(""))).join(rates, key)
     out = out.withColumn(copies, (whole + F.when(draw < at(rate) - whole, 1).otherwise(0)).cast("int")).where(at(copies) > 0)
     out = out.withColumn(no, F.explode(F.sequence(F.lit(1), at(copies))))
-    return out.select(*(at(c) for c in docs.columns), *([at(no).cast("long").alias(copy_col)] if copy_col else []))
+    return out.select(*(at(c) for c in others(docs, copy_col)), *([at(no).cast("long").alias(copy_col)] if copy_col else []))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import at, fresh, read
+from .common import at, fresh, others, read
 
 #: Rules that block, and rules that let pass whatever is blocked.
 BLOCK = (
@@ -100,7 +100,8 @@ def canonical(url: Column) -> Column:
 
 def filter_urls(pages: DataFrame, block: tuple[str, ...] = BLOCK, allow: tuple[str, ...] = ALLOW, url_col: str = "url", canonical_col: str = "canonical", rules_col: str = "rules", blocked_col: str = "blocked") -> DataFrame:
     """pages with the canonical URL, the numbers of the rules that match it, as text with commas (block from 1, then
-    allow), and whether it is blocked: a block rule matches and no allow rule does. Three columns of the given names are added."""
+    allow), and whether it is blocked: a block rule matches and no allow rule does. Three columns of the given
+    names are added, in place of any that had them."""
     machine, (url, hits) = Automaton((*block, *allow)), fresh(pages, "url", "hits")
 
     @F.pandas_udf("string")
@@ -114,7 +115,7 @@ def filter_urls(pages: DataFrame, block: tuple[str, ...] = BLOCK, allow: tuple[s
     out = pages.withColumn(url, canonical(at(url_col))).withColumn(hits, rules(at(url)))
     numbers = F.transform(F.split(at(hits), ","), lambda x: x.try_cast("int"))
     blocked = F.exists(numbers, lambda x: x <= len(block)) & ~F.exists(numbers, lambda x: x > len(block))
-    return out.select(*(at(c) for c in pages.columns), at(url).alias(canonical_col), at(hits).alias(rules_col), F.coalesce(blocked, F.lit(False)).alias(blocked_col))
+    return out.select(*(at(c) for c in others(pages, canonical_col, rules_col, blocked_col)), at(url).alias(canonical_col), at(hits).alias(rules_col), F.coalesce(blocked, F.lit(False)).alias(blocked_col))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
