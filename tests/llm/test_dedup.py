@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidewell.llm import exact, lines, simhash
 
@@ -33,6 +34,30 @@ def test_exact_dedup_against_brute_force(spark):
     assert found(exact.exact_copies(df)) == sorted(((i, least[t]) for i, t in rows if least[t] != i), key=repr)
 
 
+def test_exact_with_clashing_digests(spark):
+    """Digests that many texts share: content decides; and a sieve of few bits passes more, with the same result."""
+    rng = random.Random(4)
+    rows = [(i if i % 40 else None, "".join(rng.choices("ab", k=rng.randint(0, 4))) if i % 60 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    least = {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            least[t] = min(i, least.get(t, i))
+    want = sorted(((i, least[t]) for i, t in rows if i is not None and t is not None and least[t] != i), key=repr)
+    for of, bits in ((F.length, 1 << 27), (F.xxhash64, 8), (lambda t: F.lit(7), 64)):
+        assert found(exact.exact_copies(df, digest_of=of, bits=bits)) == want
+        kept = found(exact.exact_dedup(df, digest_of=of, bits=bits))
+        assert kept == sorted([(i, t) for t, i in least.items()] + [(i, t) for i, t in rows if t is None], key=repr)
+
+
+def test_hot_text(spark):
+    """One text with very many copies: no list of their ids, one row each."""
+    df = spark.range(1_000_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "same").otherwise(F.concat(F.lit("own "), "id")).alias("text"))
+    got = exact.exact_copies(df).agg(F.count("*"), F.min("keep_id"), F.max("keep_id"), F.count_distinct("doc_id")).first()
+    assert tuple(got) == (666_665, 1, 1, 666_665)
+    assert exact.exact_dedup(df).count() == 333_335
+
+
 def test_lines(spark, odd_documents, no_documents):
     rows = [(i, f"Own {i}\nShared  LINE\n\nshared line \nend{i % 2}") for i in range(5)] + [(9, "shared line"), (9, "shared line")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
