@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from tidewell.llm import mixing, packing
+from tidewell.llm import lines, mixing, packing, urls
 
 
 def test_mix(spark, odd_documents, no_documents):
@@ -31,6 +31,16 @@ def test_mix(spark, odd_documents, no_documents):
     assert mixing.mix(df, {}, 1).count() > 0
 
 
+def test_clashing_output_names(spark):
+    df = spark.createDataFrame([(1, "a", "x y", 9, 9, 9, 9, 9)], "doc_id long, source string, text string, COPY int, dropped int, canonical int, Rules int, blocked int")
+    mixed = mixing.mix(df, copy_col="copy")
+    assert [c.lower() for c in mixed.columns].count("copy") == 1 and mixed.first()["copy"] == 1
+    cleaned = lines.dedup_lines(df, dropped_col="dropped")
+    assert cleaned.columns.count("dropped") == 1 and cleaned.first()["dropped"] == 0
+    urled = urls.filter_urls(df, url_col="text")
+    assert len({c.lower() for c in urled.columns}) == len(urled.columns) and urled.first()["canonical"] == "x y"
+
+
 def naive_pack(sizes, capacity):
     """The same rules by plain search."""
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
@@ -93,3 +103,23 @@ def test_best_fit_pack(spark, odd_documents, no_documents):
     odd = packing.best_fit_pack(odd_documents, capacity=100)
     assert odd.agg(F.sum("tokens")).first()[0] == 4 * 3 + 60_000 + 5
     assert packing.best_fit_pack(no_documents).count() == 0
+
+
+def test_packing_is_one_over_all_shards(spark):
+    """The bins are those of plain search over all items, however many shards number them, with null and repeated doc_ids."""
+    rng = random.Random(9)
+    rows = [(None if i % 50 == 0 else i // 2, " ".join(["w"] * rng.randint(0, 150))) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = [x for _, t in rows for n in [len(t.split())] for x in [64] * (n // 64) + ([n % 64] if n % 64 else [])]
+    for shard_items in (10, 100_000):
+        load = Counter()
+        for r in packing.best_fit_pack(df, capacity=64, shard_items=shard_items).collect():
+            load[r.bin_id] += r.tokens
+        assert sorted(load) == list(range(len(load)))
+        assert sorted(64 - x for x in load.values()) == naive_pack(items, 64)
+
+
+def test_plan_does_not_grow_with_items():
+    rng = random.Random(10)
+    counts = {s: rng.randint(0, 10**9) for s in range(1, 2049)}
+    assert len(packing.plan(counts, 2048)) < 20_000

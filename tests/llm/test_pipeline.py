@@ -1,9 +1,13 @@
-"""The pipeline's stages: decisions take effect, columns and clean documents stay; and run() against plain Python."""
+"""The pipeline's stages: decisions take effect, columns and clean documents stay; and each stage, and run(), against plain Python."""
 
-from collections import Counter
+import hashlib
+from collections import Counter, defaultdict
 
 import corpus_pipeline
-from tidewell.llm import common, packing, simhash, toxicity
+import numpy as np
+from test_mixing_packing import naive_pack
+
+from tidewell.llm import common, mixing, packing, simhash, toxicity
 
 
 def test_stages_over_odd_documents(spark, odd_documents, data_dir, tmp_path):
@@ -18,26 +22,53 @@ def test_stages_over_odd_documents(spark, odd_documents, data_dir, tmp_path):
     assert docs.count() > 0
 
 
-def test_run_against_plain_python(spark, duck, data_dir):
-    docs = duck.sql("SELECT doc_id, text, source FROM documents ORDER BY doc_id").fetchall()
+def copies_of(i, rate):
+    draw = int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16) / 2**52
+    return int(rate) + (draw < rate - int(rate))
+
+
+def test_stages_against_plain_python(spark, duck, data_dir):
+    rows = {i: (t, s) for i, t, s in duck.sql("SELECT doc_id, text, source FROM documents").fetchall()}
     model = toxicity.train(common.read(spark, data_dir, "documents"), common.read(spark, data_dir, "labels"))
-    docs = [d for d in docs if model.document(d[1]) < model.threshold]
-    seen, unique = set(), []
-    for d in docs:
-        if d[1] not in seen:
-            seen.add(d[1])
-            unique.append(d)
-    sig = dict(zip((d[0] for d in unique), simhash.simhashes([d[1] for d in unique], simhash.Powers()), strict=True))
-    got = list(corpus_pipeline.run(spark, data_dir).collect())
-    kept = {r.doc_id for r in got}
-    assert kept <= {d[0] for d in unique}
-    import numpy as np
-
-    w = {i: np.frombuffer(h, dtype=np.uint64) for i, h in sig.items() if h}
-    ids = sorted(kept)
-    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if simhash.near(w[a], w[b])]
-    assert len(near) <= 0.02 * len(ids)  # an approximate search may miss a few
-    load = Counter()
-    for r in got:
-        load[r.bin_id] += r.tokens
-    assert max(load.values()) <= packing.CAPACITY
+    docs, out = common.read(spark, data_dir, "documents"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.stored(stage(spark, docs, data_dir))
+        out[name] = docs
+    ids = lambda name: Counter(r.doc_id for r in out[name].collect())
+    clean = {i for i, (t, _) in rows.items() if model.document(t) < model.threshold}
+    assert ids("toxicity") == Counter(clean)
+
+    first = {}
+    for i in sorted(clean):
+        first.setdefault(rows[i][0], i)
+    unique = sorted(first.values())
+    assert ids("exact dedup") == Counter(unique)
+
+    h = np.frombuffer(b"".join(simhash.simhashes([rows[i][0] for i in unique], simhash.Powers())), dtype=np.uint64).reshape(-1, 6)
+    links = [(k, j) for k in range(len(h)) for j in (np.flatnonzero(simhash.near(h[k + 1 :], h[k])) + k + 1).tolist()]
+    i, j = (np.array([*range(len(h)), *x]) for x in zip(*links, strict=True))
+    least = simhash.stars(len(h), i, j)
+    apart = {unique[k] for k in np.flatnonzero(least == np.arange(len(h)))}
+    kept = ids("simhash near-dedup")
+    assert apart <= set(kept) and len(kept) <= 1.02 * len(apart) and max(kept.values()) == 1  # none is lost; an approximate search may miss a few
+
+    tokens = {i: len(rows[i][0].split()) for i in kept}
+    had = Counter()
+    for i in kept:
+        had[rows[i][1]] += tokens[i]
+    weight = {s: mixing.WEIGHTS.get(s, mixing.DEFAULT_WEIGHT) for s in had}
+    rate = {s: weight[s] * sum(had.values()) / (sum(weight.values()) * had[s]) for s in had}
+    mixed = Counter({i: n for i in kept if (n := copies_of(i, rate[rows[i][1]]))})
+    assert ids("mixing") == mixed
+
+    load, held = Counter(), defaultdict(Counter)
+    got = [tuple(r) for r in corpus_pipeline.run(spark, data_dir).collect()]
+    assert sorted(got) == sorted(tuple(r) for r in out["best-fit packing"].collect())
+    for b, _, i, start, n in got:
+        load[b] += n
+        held[i][start, n] += 1
+    size = packing.CAPACITY
+    want = {i: Counter({(k, min(size, tokens[i] - k)): n for k in range(0, tokens[i], size)}) for i, n in mixed.items() if tokens[i]}
+    assert held == want
+    items = [n for i in want for (_, n), c in want[i].items() for _ in range(c)]
+    assert sorted(size - x for x in load.values()) == naive_pack(items, size)
