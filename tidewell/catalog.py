@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,12 @@ from .functions import hashes, stem, text, urls
 from .operators import crawl, crawllog, evalrank, html, index, robots, store
 from .plans import match, qlang, search
 from .plans.rank import nearest, rarest
+from .sources import files
+from .streaming import crawl as stream
 
 Q_AND, Q_NOT, Q_OR, Q_PHRASE, Q_NESTED = "of + with", "the - of", "la | und", '" of the "', "[ of | und ] + [ with - [ la | in ] ]"
 Q_TITLE, Q_RANK, PAGE_QUERY = "the#", "of the with", "the | and | of"
+PAGE_REQUEST = "The%20|%20AND%20|%20of"  # PAGE_QUERY as a browser sends it
 #: Of the stored index: tokens after which a chunk is closed, and servers that documents are dealt to.
 CHUNK, SERVERS = 50_000, 2
 _built: dict[tuple[str, str, str], str] = {}
@@ -124,6 +129,27 @@ def page_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.best(scored(spark, sf_dir, PAGE_QUERY, "pages")).select("doc_id", "url", F.round("score", 6).alias("score"))
 
 
+def front_door(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = index_path(spark, sf_dir, "pages")
+    docs, posts = index.read_index(spark, path)
+    return search.search(posts, docs, PAGE_REQUEST, stats=index.read_terms(spark, path)).select("doc_id", "url", F.round("score", 6).alias("score"))
+
+
+ASKED = ("a - b", '"x y" | z', "[ a | b ] - [ c d ]", "a b + c", "[]", '"x', "b ]", "a +")
+
+
+def query_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words by which results of some queries are ranked; null where a query can't be read."""
+
+    def ranked(query: str) -> str | None:
+        try:
+            return " ".join(qlang.rank_words(qlang.parse(query)))
+        except qlang.QueryError:
+            return None
+
+    return spark.createDataFrame([(q, ranked(q)) for q in ASKED], "query string, words string")
+
+
 def url_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls_of(spark, sf_dir).select("page_id", F.round(urls.url_score(F.col("url"), ["the", "en", "html"]), 6).alias("score"))
 
@@ -159,6 +185,19 @@ def links_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.discovered(pages(spark, sf_dir))
 
 
+def html_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no headers: each page gets one by its number."""
+    kind = F.element_at(F.array(*map(F.lit, ("text/html; charset=utf-8", "application/pdf", "TEXT/HTML"))), (F.col("page_id") % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: "), kind, F.lit("\r\n")).alias("header"))
+    return rows.where(html.is_html(F.col("header"))).select("page_id")
+
+
+def older_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status, kind = F.when(F.col("page_id") % 5 == 0, 404).otherwise(200), F.when(F.col("page_id") % 7 == 0, "image/png").otherwise("text/html")
+    rows = table(spark, sf_dir, "pages").withColumn("status", status).withColumn("content_type", kind)
+    return html.readable(rows).select("page_id", F.size(text.plain_words(html.plain_text(F.col("html")))).alias("n_words"))
+
+
 def language_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").where(html.is_english(F.col("html"))).select("page_id")
 
@@ -167,6 +206,94 @@ def url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.distinct_urls(urls_of(spark, sf_dir), [F.col("page_id")])
 
 
+def peers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On how many peers each URL lands when all are sent to seven."""
+    sent = crawl.by_peer(urls_of(spark, sf_dir), 7).select(urls.url_key(F.col("url")).alias("url_key"), F.spark_partition_id().alias("peer"))
+    return sent.groupBy("url_key").agg(F.count_distinct("peer").alias("peers"))
+
+
+def seed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seed and peer lists: the pages' URLs written as a list with odd line ends, and read back."""
+    path = store.new_path(spark, "seeds")
+    urls_of(spark, sf_dir).select(F.concat("url", F.element_at(F.array(F.lit("\r"), F.lit("\n"), F.lit("")), (F.col("page_id") % 3 + 1).cast("int")))).write.text(path)
+    return files.lines(spark, path)
+
+
+def log_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a crawl log of milliseconds with other lines between, read back: lines a server second."""
+    path = store.new_path(spark, "log")
+    log(spark, sf_dir).select(F.explode(F.array(F.unix_millis("ts").cast("string"), F.lit("started"))).alias("line")).write.text(path)
+    return files.crawl_log(spark, path, "s1").groupBy("server", F.unix_millis("ts").alias("ms")).agg(F.count("*").alias("n"))
+
+
+def judgment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The judged documents as files of JSON arrays, one a language, read back with their ranks."""
+    path = store.new_path(spark, "judged")
+    lists = _qrels(spark, sf_dir).groupBy("query").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("rank", "url"))), lambda x: x.getField("url"))).alias("json"))
+    lists.repartition("query").write.partitionBy("query").text(path)
+    raw = spark.read.option("basePath", path).text(path, wholetext=True)
+    assert raw.columns == ["value", "query"]
+    return raw.select("query", F.posexplode(F.from_json("value", "array<string>")).alias("rank", "url")).withColumn("rank", F.col("rank") + 1)
+
+
+def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result lists written a folder a query, and read back."""
+    path = store.new_path(spark, "lists")
+    files.write_lists(_qrels(spark, sf_dir), path)
+    return spark.read.text(path).select("query", F.col("value").alias("url"))
+
+
+def frontier_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.new_path(spark, "frontier")
+    files.write_frontier(crawl.prioritized(urls_of(spark, sf_dir), F.col("page_id")), path)
+    return files.frontier(spark, path)
+
+
+def visited_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.new_path(spark, "visited")
+    files.write_visited(urls_of(spark, sf_dir), path)
+    return files.visited(spark, path)
+
+
+def received_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' URLs as messages of a host each, its URLs ended by a NUL, taken apart again."""
+    made = urls_of(spark, sf_dir).groupBy(urls.hostname(F.col("url"))).agg(F.concat_ws("\0", F.collect_list("url"), F.array(F.lit(""))).alias("value"))
+    return files.datagrams(made)
+
+
+def word_url_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = urls_of(spark, sf_dir).select(F.concat(F.element_at(F.array(F.lit("0 "), F.lit("1 "), F.lit("2 ")), (F.col("page_id") % 3 + 1).cast("int")), "url").alias("value"))
+    return files.word_url_stream(lines)
+
+
+def streamed(name: str, run, mode: str = "append"):
+    """A query that runs a stream over what a table holds and returns what came out."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table_ = f"tw_{name}_{uuid.uuid4().hex}"
+        stream.written(run(spark, sf_dir), table_, store.new_path(spark, f"stream-{name}"), mode)
+        return spark.table(table_)
+
+    return query
+
+
+def replayed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return stream.replayed(spark, f"{sf_dir}/{name}.parque[t]", table(spark, sf_dir, name).schema)  # a pattern may name a file, a path must name a folder
+
+
+def stream_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.host_slots(replayed(spark, sf_dir, "pages").select("url", F.lit("add").alias("kind"), F.col("page_id").alias("seq")))
+
+
+def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = replayed(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("server"), F.to_timestamp("ts").alias("ts"))
+    return stream.sliding_rate(rows).select("server", F.unix_micros("start").alias("start_us"), F.round("rate", 6).alias("rate"))
+
+
+def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.log_lines(replayed(spark, sf_dir, "events").select(F.col("event_type").alias("server")))
+
+
 def unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_ = urls_of(spark, sf_dir)
     return crawl.unseen(all_, all_.where(F.col("url").startswith("https://")))
@@ -292,6 +419,16 @@ def varint_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", F.hex(hashes.varint_column("n")).alias("code"), F.length(hashes.prefixed_column("n")).alias("prefixed"), F.element_at(hashes.varints_column(hashes.varint_column("n")), 1).alias("back"))
 
 
+def percent_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls_of(spark, sf_dir).select("page_id", text.percent_decode(F.concat(F.url_encode("url"), F.lit("%2Fa%C3%A9"))).alias("decoded"))
+
+
+def file_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries that result files' names stand for, asking for all words and for any."""
+    named = table(spark, sf_dir, "pages").select("page_id", text.query_of_file(F.regexp_replace("url", "[/.]", " ")).alias("query"))
+    return named.withColumn("any_query", text.any_of(F.col("query")))
+
+
 def decode_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.concat(F.lit("%5B"), F.replace("url", F.lit("/"), F.lit("%20")), F.lit("%22%2B%5D"))
     return urls_of(spark, sf_dir).select("page_id", text.decode_request(asked).alias("query"))
@@ -311,6 +448,11 @@ QUERIES = {
     "language_gate": language_gate, "url_dedup": url_dedup, "visited_anti_join": unseen, "host_cap": host_cap, "frontier_pop": frontier_pop, "frontier_level_cap": frontier_level_cap,
     "robots_rules": robots_rules, "robots_filter": robots_filter, "crawl_rate_5min": crawl_rate_5min, "crawl_rate_by_server": crawl_rate_by_server,
     "cumulative_docs": cumulative_docs, "cumulative_by_server": cumulative_by_server, "rate_lag": rate_lag, "rate_sum": rate_sum, "total_docs": total_docs, "index_size": index_size,
+    "front_door": front_door, "query_words": query_words, "html_gate": html_gate, "older_gate": older_gate, "peers": peers, "seed_lines": seed_lines, "log_file": log_file,
+    "judgment_files": judgment_files, "list_files": list_files, "frontier_restore": frontier_restore, "visited_restore": visited_restore, "received_urls": received_urls,
+    "word_url_lines": word_url_lines, "percent_decode": percent_decode, "file_queries": file_queries,
+    "stream_new_urls": streamed("new", lambda s, d: stream.new_urls(replayed(s, d, "pages").select("url")).select("url_key")), "stream_slots": streamed("slots", stream_slots),
+    "stream_rate": streamed("rate", stream_rate, "complete"), "stream_lines": streamed("lines", stream_lines, "complete"),
     "not_ready": not_ready, "qrels_semi": qrels_semi, "rank_loss": rank_loss,
 }
 
@@ -516,6 +658,29 @@ SQL = {
         SELECT doc_id, n, CASE WHEN n < 128 THEN printf('%02X', n + 128) WHEN n < 16384 THEN printf('%02X%02X', n // 128, n % 128 + 128)
             ELSE printf('%02X%02X%02X', n // 16384, n // 128 % 128, n % 128 + 128) END AS code,
             (CASE WHEN n < 32 THEN 1 WHEN n < 8192 THEN 2 ELSE 3 END)::INTEGER AS prefixed, n AS back FROM l""",
+    "front_door": f"{_PAGE_SEARCH} SELECT doc_id, url, round(score, 6)::DOUBLE AS score FROM best",
+    "query_words": """SELECT * FROM (VALUES ('a - b', 'a'), ('"x y" | z', 'x y z'), ('[ a | b ] - [ c d ]', 'a b'), ('a b + c', 'a b c'), ('[]', ''), ('"x', NULL), ('b ]', NULL), ('a +', 'a ')) v(query, words)""",
+    "html_gate": "SELECT page_id FROM pages WHERE page_id % 3 <> 1",
+    "older_gate": r"""WITH g AS (SELECT page_id, html FROM pages WHERE page_id % 5 <> 0 AND page_id % 7 <> 0 AND regexp_extract(html, '<html lang="([a-z]*)', 1) IN ('', 'en')),
+        t AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g'), '[!-/:-@\[-`{-~]', '', 'g') AS t FROM g)
+        SELECT page_id, len(regexp_extract_all(t, '[^ \t\n\x0b\f\r]+'))::INTEGER AS n_words FROM t""",
+    "peers": f"SELECT DISTINCT {_KEY} AS url_key, 1::BIGINT AS peers FROM pages",
+    "seed_lines": "SELECT url FROM pages",
+    "log_file": "SELECT 's1' AS server, epoch_us(ts) // 1000 AS ms, count(*) AS n FROM events GROUP BY ms",
+    "judgment_files": f"WITH {_QRELS} SELECT query, rank, url FROM qr",
+    "list_files": f"WITH {_QRELS} SELECT query, url FROM qr",
+    "frontier_restore": f"WITH {_PRIO} SELECT url, priority, page_id AS seq FROM pr WHERE priority >= 0",
+    "visited_restore": "SELECT DISTINCT url FROM pages",
+    "received_urls": "SELECT url FROM pages",
+    "word_url_lines": "SELECT CASE page_id % 3 WHEN 0 THEN 'url' ELSE 'word' END AS kind, url AS value FROM pages WHERE page_id % 3 < 2",
+    "percent_decode": "SELECT page_id, url || '/aé' AS decoded FROM pages",
+    "file_queries": """WITH n AS (SELECT page_id, array_to_string(regexp_extract_all(regexp_replace(regexp_replace(url, '[/.]', ' ', 'g'), '[^a-zA-Z0-9 ]', '', 'g'), '[^ ]+'), ' + ') AS query FROM pages)
+        SELECT page_id, query, replace(query, '+', '|') AS any_query FROM n""",
+    "stream_new_urls": f"SELECT DISTINCT {_KEY} AS url_key FROM pages",
+    "stream_slots": f"SELECT url FROM pages QUALIFY row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) <= CASE WHEN {_HOST} IN ({_TRUSTED}) THEN 40 ELSE 5 END",
+    "stream_rate": """WITH w AS (SELECT user_id::VARCHAR AS server, (epoch_us(ts) // 60000000 - unnest(range(5))) * 60000000 AS start_us FROM events)
+        SELECT server, start_us, round(count(*) * 4095 / 300.0::DOUBLE, 6) AS rate FROM w GROUP BY server, start_us""",
+    "stream_lines": "SELECT event_type AS server, (count(*) // 4095)::BIGINT AS lines FROM events GROUP BY event_type",
     "total_docs": "SELECT count(*) * 4095 AS docs FROM events",
     "index_size": """WITH h AS (SELECT source, sum(strlen(text))::BIGINT AS b FROM documents GROUP BY source), t AS (SELECT sum(b)::BIGINT AS total, max(b) AS largest FROM h)
         SELECT total, largest, CASE WHEN total >= 1099511627776 THEN floor(total / 1099511627776)::BIGINT || 'T' WHEN total >= 1073741824 THEN floor(total / 1073741824)::BIGINT || 'G'
