@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import at, fresh, read
+from .common import at, fresh, others, read, stored
 
 THRESHOLD = 10
 
@@ -29,12 +29,12 @@ def _hash(line: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, dropped_col: str | None = None) -> DataFrame:
-    """docs with the kept lines as text; dropped_col, if given, counts the lines that went."""
+    """docs with the kept lines as text; dropped_col, if given, counts the lines that went (in place of a column of that name)."""
     who, bad, lines, kept = fresh(docs, "who", "bad", "lines", "kept")
     text = at("text")
     identity = F.struct(F.xxhash64(at("doc_id"), text).alias("a"), F.hash(text, at("doc_id")).alias("b"))
     keys = F.array_compact(F.array_distinct(F.transform(F.split(text, "\n", -1), _hash)))
-    seen = docs.where(text.isNotNull()).select(identity.alias("who"), F.explode(keys).alias("key"))
+    seen = stored(docs.where(text.isNotNull()).select(identity.alias("who"), F.explode(keys).alias("key")))
     often = seen.groupBy("key").agg(F.count_distinct("who").alias("n")).where(F.col("n") > threshold).select("key")
     mine = seen.join(often, "key").groupBy(F.col("who").alias(who)).agg(F.collect_set("key").alias(bad))
     out = docs.withColumn(who, identity).join(mine, who, "left")
@@ -42,7 +42,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, dropped_col: str |
     out = out.withColumn(kept, F.filter(at(lines), lambda x: ~F.coalesce(F.array_contains(at(bad), _hash(x)), F.lit(False))))
     new = F.when(at(bad).isNull(), text).otherwise(F.array_join(at(kept), "\n"))
     count = F.when(at(bad).isNull(), F.lit(0)).otherwise(F.size(at(lines)) - F.size(at(kept)))
-    return out.select(*(new.alias(c) if c == "text" else at(c) for c in docs.columns), *([count.cast("long").alias(dropped_col)] if dropped_col else []))
+    return out.select(*(new.alias(c) if c == "text" else at(c) for c in others(docs, dropped_col)), *([count.cast("long").alias(dropped_col)] if dropped_col else []))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
