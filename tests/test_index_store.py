@@ -123,3 +123,19 @@ def test_rate_sum(spark):
     log = spark.createDataFrame(rows, "server string, s long").select("server", F.timestamp_seconds("s").alias("ts"))
     got = crawllog.summed_rate(log, 20_000_000).first()
     assert got.servers == 2 and abs(got.rate - (4095 / 10 + 4095 / 5)) < 1e-9
+
+
+def test_numbered(spark):
+    """Rows of a `by` that holds most rows are numbered over several ranges; null keys are a group."""
+    from tidewell.operators.store import numbered
+
+    df = spark.range(0, 9_000, 1, 5).select("id", F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, "b").alias("k"), F.hash("id").alias("h"))
+    got = numbered(df, [F.col("k")], [F.desc("h"), F.asc("id")], "no")
+    assert got.columns == ["id", "k", "h", "no"]
+    groups = {}
+    for r in sorted(got.collect(), key=lambda r: (-r.h, r.id)):
+        groups.setdefault(r.k, []).append(r.no)
+    assert {k: len(v) for k, v in groups.items()} == {"hot": 7_200, "b": 900, None: 900} and all(v == list(range(1, len(v) + 1)) for v in groups.values())
+    assert [r.no for r in numbered(df, [], [F.asc("id")], "no").orderBy("id").collect()] == list(range(1, 9_001))
+    plan = crawl.capped_by_host(spark.createDataFrame([("https://a.com/x",)], "url string"), [F.col("url")])
+    assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import hashes, stem, text, urls
@@ -371,8 +371,8 @@ def not_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("quality"), "doc_id"))
-    return labels.select(F.col("lang").alias("query"), place.alias("rank"), F.col("doc_id").cast("string").alias("url"))
+    placed = store.numbered(labels, [F.col("lang")], [F.desc("quality"), F.asc("doc_id")], "rank")
+    return placed.select(F.col("lang").alias("query"), F.col("rank").cast("int").alias("rank"), F.col("doc_id").cast("string").alias("url"))
 
 
 def qrels_semi(spark: SparkSession, sf_dir: str) -> DataFrame:

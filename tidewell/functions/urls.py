@@ -29,6 +29,7 @@ BARRED = frozenset(
 MAX_LINK_BYTES = 400
 SIGN_IN = ("login", "signin", "signup")
 TRUSTED = ("bbc.com", "cnn.com", "en.wikipedia.org", "github.com", "nytimes.com")
+MOST_SLOTS = 40
 GOOD_TLD = ("com", "edu", "gov", "net", "org")
 SCORED_TLD = (".com", ".edu", ".gov", ".org")
 
@@ -158,7 +159,7 @@ def frontier_priority(url: Column) -> Column:
 
 def host_cap(host: Column) -> Column:
     """How many URLs of a host may be under way at once."""
-    return F.when(host.isin(*TRUSTED), 40).otherwise(5)
+    return F.when(host.isin(*TRUSTED), MOST_SLOTS).otherwise(5)
 
 
 def old_policy(url: Column) -> Column:

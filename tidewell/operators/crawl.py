@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from .html import page_links, parse_pages
 from .robots import allowed
-from .store import stored
+from .store import numbered, stored
 
 LEVEL_CAP, PAGE_LINKS, SAME_DOMAIN_LINKS, OLD_QUEUE = 500_000, 8, 3, 500
 
@@ -45,7 +45,8 @@ def capped_by_host(urls: DataFrame, order: list[Column], busy: DataFrame | None
     if busy is not None:
         hosted = hosted.join(busy.select(F.col("host").alias("_host"), F.col("n").alias("_busy")), "_host", "left")
         room = room - F.coalesce("_busy", F.lit(0))
-    return hosted.withColumn("_place", place).where(F.col("_place") <= room).select(*urls.columns)
+    # no host has more room than the largest cap: a constant that each task can cut by before the shuffle
+    return hosted.withColumn("_place", place).where(F.col("_place") <= U.MOST_SLOTS).where(F.col("_place") <= room).select(*urls.columns)
 
 
 def prioritized(urls: DataFrame, seq: Column) -> DataFrame:
@@ -55,8 +56,7 @@ def prioritized(urls: DataFrame, seq: Column) -> DataFrame:
 
 def capped_by_level(frontier: DataFrame, cap: int = LEVEL_CAP) -> DataFrame:
     """The first `cap` URLs of each priority."""
-    place = F.row_number().over(Window.partitionBy("priority").orderBy("seq", "url"))
-    return frontier.withColumn("_place", place).where(F.col("_place") <= cap).drop("_place")
+    return numbered(frontier, [F.col("priority")], [F.asc("seq"), F.asc("url")], "_place").where(F.col("_place") <= cap).drop("_place")
 
 
 def pop(frontier: DataFrame, n: int, chance: float | None = None, seed: int = 0) -> DataFrame:
@@ -82,11 +82,7 @@ def old_link_limits(links: DataFrame, queued: int = 0, per_page: int = PAGE_LINK
 def in_turn(urls: DataFrame, order: list[Column], after: DataFrame) -> DataFrame:
     """urls with seq: their turn by the given order, behind all of after (seq)."""
     last = after.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-    keyed = stored(urls.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "turns")
-    counts = keyed.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = keyed.withColumn("_row", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    return place.join(before, "_range").withColumn("seq", F.lit(last).cast("long") + F.col("_before") + F.col("_row")).select(*urls.columns, "seq")
+    return numbered(urls, [], order, "_place").select(*urls.columns, (F.col("_place") + last).alias("seq"))
 
 
 def crawl_round(frontier: DataFrame, visited: DataFrame, pages: DataFrame, robots: DataFrame, batch: int) -> tuple[DataFrame, DataFrame, DataFrame]:

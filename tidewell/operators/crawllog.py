@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import numbered
 
 LINE_DOCS, TRAIL_S, STALE_S = 4095, 300, 60
 
@@ -15,39 +15,28 @@ def micros(ts: str = "ts") -> Column:
 
 
 def cumulative(log: DataFrame, by: str | None = None) -> DataFrame:
-    """log with docs: documents so far, of the server (by) or of all. Over all, lines are numbered within ranges of ts
-    and the ranges' counts are added, so no one task sees the whole log. The ranges are written down once, so that numbers and
-    counts see the same ones."""
-    if by:
-        return log.withColumn("docs", F.row_number().over(Window.partitionBy(by).orderBy("ts", *[c for c in log.columns if c not in (by, "ts")])) * F.lit(LINE_DOCS).cast("long"))
-    order = ["ts", *[c for c in log.columns if c != "ts"]]
-    part = stored(log.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "log")
-    counts = part.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    row = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return part.withColumn("_row", row).join(before, "_range").withColumn("docs", (F.col("_before") + F.col("_row")) * LINE_DOCS).drop("_range", "_before", "_row")
+    """log with docs: documents so far, of the server (by) or of all; ties in ts go by the other columns."""
+    order = [F.asc("ts"), *(F.asc(c) for c in log.columns if c not in (by, "ts"))]
+    return numbered(log, [F.col(by)] if by else [], order, "_no").select(*log.columns, (F.col("_no") * LINE_DOCS).cast("long").alias("docs"))
 
 
 def trailing_rate(log: DataFrame, by: str | None = None) -> DataFrame:
-    """log with rate: documents a second over the five minutes up to each line. Over all, a line is sent to its own time slot
-    and as a witness to the next, so each slot is a window of its own."""
+    """log with rate: documents a second over the five minutes up to each line, of the server (by) or of all. A line is sent to its
+    own time slot and as a witness to the next, so each slot is a window of its own."""
     us = micros()
-    if by:
-        n = F.count("*").over(Window.partitionBy(by).orderBy(us).rangeBetween(-TRAIL_S * 1_000_000, 0))
-        return log.withColumn("rate", n.cast("double") / TRAIL_S * LINE_DOCS)
     slot = F.floor(us / F.lit(TRAIL_S * 1_000_000)).cast("long")
     both = log.withColumn("_us", us).withColumn("_own", slot).withColumn("_slot", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    n = F.count("*").over(Window.partitionBy("_slot").orderBy("_us").rangeBetween(-TRAIL_S * 1_000_000, 0))
+    n = F.count("*").over(Window.partitionBy(*([by] if by else []), "_slot").orderBy("_us").rangeBetween(-TRAIL_S * 1_000_000, 0))
     return both.withColumn("rate", n.cast("double") / TRAIL_S * LINE_DOCS).where("_slot = _own").drop("_us", "_own", "_slot")
 
 
 def last_rate(log: DataFrame, now_us: int | None = None) -> DataFrame:
     """(server, rate, stale): documents a second between a server's last two lines; null if they don't differ. Stale, and
-    not to be added up, if the last is over a minute older than now."""
-    by = Window.partitionBy("server").orderBy(F.desc(micros()))
-    last = log.select("server", micros().alias("us"), F.lead(micros()).over(by).alias("before"), F.row_number().over(by).alias("n")).where("n = 1")
-    gap = F.col("us") - F.col("before")
-    rate = F.when(gap > 0, F.lit(LINE_DOCS * 1e6) / gap)
+    not to be added up, if the last is over a minute older than now. Each task sends two lines a server."""
+    place = F.row_number().over(Window.partitionBy("server").orderBy(F.desc("us")))
+    two = log.select("server", micros().alias("us")).withColumn("n", place).where("n <= 2")
+    last = two.groupBy("server").agg(F.max("us").alias("us"), (F.max("us") - F.min("us")).alias("gap"))
+    rate = F.when(F.col("gap") > 0, F.lit(LINE_DOCS * 1e6) / F.col("gap"))
     return last.select("server", rate.alias("rate"), (F.lit(now_us) - F.col("us") > STALE_S * 1_000_000 if now_us is not None else F.lit(False)).alias("stale"))
 
 

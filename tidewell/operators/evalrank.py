@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import numbered
+
 MISSING_RANK = 100
 
 
 def ranked(results: DataFrame) -> DataFrame:
     """(query, url, actual) of results (query, url, score): rank from 1, best first, ties by URL."""
-    return results.select("query", "url", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "url")).alias("actual"))
+    return numbered(results, [F.col("query")], [F.desc("score"), F.asc("url")], "actual").select("query", "url", "actual")
 
 
 def judged_and_crawled(qrels: DataFrame, crawled: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +38,21 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, by: list[Column], order: list[Column], name: str) -> DataFrame:
+    """df with its rows numbered from 1 within `by`, in the given order. Rows are numbered within ranges of (by, order), and the ranges'
+    counts are added, so that a `by` with a third of all rows is no one task's. The ranges are written down once, so that numbers and
+    counts see the same ones."""
+    keys = [f"_by{k}" for k in range(len(by))]
+    keyed = df.withColumns(dict(zip(keys, by, strict=True))) if by else df
+    part = stored(keyed.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "numbered")
+    counts = part.groupBy("_range", *keys).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*keys).orderBy("_range") if keys else Window.orderBy("_range")  # a row a range
+    counts = counts.withColumn("_before", F.sum("_n").over(whole.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+    row = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order))
+    same = part.withColumn("_row", row).alias("a").join(counts.alias("b"), [F.col("a._range") == F.col("b._range"), *(F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys)])
+    return same.select(*(F.col(f"a.{c}") for c in df.columns), (F.col("_before") + F.col("_row")).alias(name))
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
