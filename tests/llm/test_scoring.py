@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 from math import log10
 
@@ -13,6 +14,54 @@ def test_noisy_or():
     assert abs(toxicity.noisy_or(z) - (1 - np.prod(1 - p))) < 1e-12 and toxicity.noisy_or([]) == 0.0
 
 
+def test_slope_against_finite_differences():
+    rng = np.random.default_rng(2)
+    doc = np.sort(rng.integers(0, 12, 40))
+    entries = 150
+    bags = toxicity.Bags(rng.integers(0, 9, entries), np.sort(rng.integers(0, 40, entries)), rng.integers(1, 3, entries), doc, 9, 12)
+    y, weight, w = (rng.random(12) < 0.4).astype(float), rng.random(12), rng.normal(size=10)
+    got = bags.slope(w, y, weight, 0.05, 0.01)
+    for k in range(10):
+        step = np.zeros(10)
+        step[k] = 1e-6
+        by_difference = (bags.loss(w + step, y, weight, 0.05, 0.01) - bags.loss(w - step, y, weight, 0.05, 0.01)) / 2e-6
+        assert abs(by_difference - got[k]) < 1e-6
+    clean = np.ones(12)  # noisy-or by the product itself
+    z = bags.soft(w)[0]
+    for s, d in enumerate(doc):
+        clean[d] *= 1 - 1 / (1 + np.exp(-z[s]))
+    assert np.allclose(np.exp(-bags.soft(w)[1]), clean)
+
+
+def test_query_against_plain_python(spark, duck, data_dir):
+    """op1_toxicity's rows from its model's weights, by loops over sentences, tokens and beginnings."""
+    model = toxicity.train(*(spark.read.parquet(f"{data_dir}/{t}.parquet") for t in ("documents", "labels")))
+    want = {}
+    for i, text in duck.sql("SELECT doc_id, text FROM documents WHERE text IS NOT NULL").fetchall():
+        found, at = [], 0
+        for m in re.finditer(r"[^.!?\n]+[.!?]*", text):
+            if tokens := set(m.group().split()):
+                gains = [model.weights[f] for t in tokens for x in re.findall(r"[^\W\d_]+", t.lower()) for f in [x, *(x[:k] + "*" for k in (4, 5, 6, 7) if len(x) > k)] if f in model.weights]
+                found.append((at, m.start(), m.end(), 1 / (1 + np.exp(-model.bias - sum(gains))) if gains and any(gains) else 0.0))
+                at += 1
+        p = 1 - np.prod([1 - x[3] for x in found]) if found else 0
+        if found and p >= model.threshold:
+            top = max(x[3] for x in found)
+            want |= {(i, s): (a, b, round(q, 6), round(p, 6)) for s, a, b, q in found if q >= model.threshold / 2 or q == top}
+    got = {(r.doc_id, r.sentence): (r.start, r.end, round(r.score, 6), round(r.toxicity, 6)) for r in toxicity.op1_toxicity(spark, data_dir).collect()}
+    assert got.keys() == want.keys() and len(want) > 0
+    for k, (a, b, q, p) in want.items():
+        assert got[k][:2] == (a, b) and abs(got[k][2] - q) < 2e-6 and abs(got[k][3] - p) < 2e-6
+
+
+def test_sample_is_bounded_in_characters(spark):
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(50, "y" * 400_000), (50, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(51)], "doc_id long, toxic int")
+    rows = toxicity.sample(df, labels, max_chars=1_000)
+    assert rows.groupby("toxic")["id"].count().to_dict() == {0: 10, 1: 10} and 50 not in set(rows["id"])
+    assert len(toxicity.sample(df, labels)) == 50
+
+
 def labelled(n, seed):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(400)]

@@ -3,13 +3,15 @@
 A sentence s has p_s = sigmoid(b + w.x_s) over the words and word beginnings of its distinct tokens; a document is toxic with
 1 - prod(1 - p_s) (noisy-or). A sentence without any feature of the model has p_s = 0, so that a document doesn't become
 toxic by its length alone. w and b are fitted to document labels alone, and the fitted p_s then show which sentences
-offend. Features are those more frequent in toxic documents, in MIN_DOCS and a MIN_SHARE of the toxic sample at least. The fit uses a bounded sample of labelled rows (MAX_TOXIC and MAX_CLEAN, taken by hash of doc_id), and the model is
-a dictionary of at most FEATURES entries, whatever the input's size. Scoring covers every document whole, in one pass
-without a shuffle.
+offend. Features are those more frequent in toxic documents, in MIN_DOCS and a MIN_SHARE of the toxic sample at least. The fit uses
+a bounded sample of labelled rows, taken by hash of doc_id: at most MAX_TOXIC and MAX_CLEAN documents, of at most MAX_CHARS characters
+in all of either kind and LONG_CHARS each, so that the driver's share is bounded in bytes too. The model is a dictionary of at most
+FEATURES entries, whatever the input's size. Scoring covers every document whole, in one pass without a shuffle.
 
 Defined cases: null and empty texts have no sentence and score 0; a null label is no label, and a document that is labelled
-both ways counts as toxic; without labels of both kinds nothing is toxic; repeated rows score alike; ties in the
-sample's hash go by doc_id; very long texts are scored whole; an empty table gives an empty result; extra columns pass through.
+both ways counts as toxic; without labels of both kinds nothing is toxic; repeated rows score alike; of the texts of one doc_id
+the least serves for the fit, and each is scored; ties in the sample's hash go by doc_id; very long texts are scored whole, though
+beyond LONG_CHARS they aren't fitted on; doc_id is a number; an empty table gives an empty result; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from .common import at, read
 
 MAX_TOXIC, MAX_CLEAN, FEATURES, MIN_DOCS, MIN_SHARE, HELD_OUT = 2000, 4000, 2048, 4, 0.01, 5
 LEAST_CUT, MOST_CUT = 0.5, 0.8
+MAX_CHARS, LONG_CHARS = 30_000_000, 300_000
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
@@ -93,6 +96,32 @@ def noisy_or(z: list[float]) -> float:
     return float(-np.expm1(-np.logaddexp(0.0, z).sum())) if len(z) else 0.0
 
 
+class Bags:
+    """Sentences as (feature, sentence, count) entries, and the document of each sentence."""
+
+    def __init__(self, feat: np.ndarray, sent: np.ndarray, count: np.ndarray, doc: np.ndarray, features: int, docs: int) -> None:
+        self.feat, self.sent, self.count, self.doc, self.features, self.docs = feat, sent, count, doc, features, docs
+
+    def soft(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log-odds of each sentence, and -log P(clean) of each document. w ends with the bias."""
+        z = w[-1] + np.bincount(self.sent, w[self.feat] * self.count, minlength=len(self.doc))
+        return z, np.bincount(self.doc, np.logaddexp(0, z), minlength=self.docs)
+
+    def loss(self, w: np.ndarray, y: np.ndarray, weight: np.ndarray, noise: float, l2: float) -> float:
+        """Weighted -log P(label) under noisy-or, a toxic label being wrong with the chance `noise`; and the l2 penalty."""
+        soft = self.soft(w)[1]
+        toxic = np.log(noise + (1 - noise) * -np.expm1(-soft))
+        return float((weight * np.where(y > 0, -toxic, soft)).sum() + l2 / 2 * (w[:-1] ** 2).sum())
+
+    def slope(self, w: np.ndarray, y: np.ndarray, weight: np.ndarray, noise: float, l2: float) -> np.ndarray:
+        """The gradient of loss()."""
+        z, soft = self.soft(w)
+        clean = np.exp(-soft)
+        d_soft = np.where(y > 0, -(1 - noise) * clean / (noise + (1 - noise) * (1 - clean)), 1.0) * weight
+        d_z = d_soft[self.doc] / (1 + np.exp(-z))
+        return np.append(np.bincount(self.feat, d_z[self.sent] * self.count, minlength=self.features) + l2 * w[:-1], d_z.sum())
+
+
 def fit(texts: list[str], labels: list[int], ids: list[int], steps: int = 300, l2: float = 2e-4, l1: float = 2e-4, noise: float = 0.05) -> Model | None:
     """None without labels of both kinds. noise: the share of toxic labels expected to be wrong, which bounds their pull. A fifth of the documents, by id, is held out to choose the threshold by F1,
     between LEAST_CUT and MOST_CUT (few labels say little about it)."""
@@ -122,7 +151,8 @@ def fit(texts: list[str], labels: list[int], ids: list[int], steps: int = 300, l
                 feat.append(f), sent.append(len(doc)), count.append(k)
             if found:
                 doc.append(d)
-    feat, sent, count, doc = (np.array(x, dtype=np.int64) for x in (feat, sent, count, doc))
+    bags = Bags(*(np.array(x, dtype=np.int64) for x in (feat, sent, count, doc)), len(names), len(y))
+    del feat, sent, count, doc
     held = np.array([hash(int(i)) % HELD_OUT == 0 for i in ids])
     if not 0 < y[~held].sum() < (~held).sum() or not 0 < y[held].sum() < held.sum():
         held[:] = False
@@ -131,22 +161,14 @@ def fit(texts: list[str], labels: list[int], ids: list[int], steps: int = 300, l
     w[-1] = bias
     m, v = np.zeros_like(w), np.zeros_like(w)
 
-    def score(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z = w[-1] + np.bincount(sent, w[feat] * count, minlength=len(doc))
-        return z, np.bincount(doc, np.logaddexp(0, z), minlength=len(y))
-
     for step in range(1, steps + 1):
-        z, soft = score(w)  # P(clean) = exp(-soft)
-        clean = np.exp(-soft)
-        d_soft = np.where(y > 0, -(1 - noise) * clean / (noise + (1 - noise) * (1 - clean)), 1.0) * weight
-        d_z = d_soft[doc] / (1 + np.exp(-z))
-        g = np.append(np.bincount(feat, d_z[sent] * count, minlength=len(names)), d_z.sum()) + l2 * w * (np.arange(len(w)) < len(names))
+        g = bags.slope(w, y, weight, noise, l2)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         rate = 0.1 * min(1.0, 2 * (1 - step / (steps + 1)))
         move = rate / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         w = w - move * m / (1 - 0.9**step)
         w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - np.minimum(move[:-1], 100.0) * l1, 0)
-    p = -np.expm1(-score(w)[1])
+    p = -np.expm1(-bags.soft(w)[1])
     on = held if held.any() else np.ones(len(y), bool)
     order = np.argsort(-p[on], kind="stable")
     hit = np.cumsum(y[on][order])
@@ -158,13 +180,18 @@ def fit(texts: list[str], labels: list[int], ids: list[int], steps: int = 300, l
     return Model({f: float(x) for f, x in zip(names, w, strict=False) if abs(x) > 1e-6}, float(w[-1]), float(threshold))
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> pd.DataFrame:
-    """At most max_toxic and max_clean labelled documents, those of the least hash of doc_id."""
+def sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS) -> pd.DataFrame:
+    """At most max_toxic and max_clean labelled documents, those of the least hash of doc_id, as far as max_chars goes for each kind.
+    Lengths are fetched and added up before any text is."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(at("doc_id").alias("id")).agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     order = [F.xxhash64("id"), "id"]
     picked = known.where("toxic = 1").orderBy(*order).limit(max_toxic).unionAll(known.where("toxic = 0").orderBy(*order).limit(max_clean))
     texts = docs.select(at("doc_id").alias("id"), at("text").alias("text"))
-    return texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toPandas().sort_values("id")
+    sizes = texts.join(F.broadcast(picked), "id").groupBy("id", "toxic").agg(F.coalesce(F.max(F.length("text")), F.lit(0)).alias("n")).where(F.col("n") <= LONG_CHARS)
+    sizes = sizes.withColumn("place", F.xxhash64("id")).toPandas().sort_values(["place", "id"])  # at most max_toxic + max_clean rows of four numbers
+    kept = sizes[sizes.groupby("toxic")["n"].cumsum() <= max_chars][["id", "toxic"]]
+    chosen = docs.sparkSession.createDataFrame(list(kept.itertuples(index=False, name=None)), f"id {picked.schema['id'].dataType.simpleString()}, toxic int")
+    return texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toPandas().sort_values("id")
 
 
 def train(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model | None:
