@@ -86,7 +86,7 @@ def in_turn(urls: DataFrame, order: list[Column], after: DataFrame) -> DataFrame
 
 
 def crawl_round(frontier: DataFrame, visited: DataFrame, pages: DataFrame, robots: DataFrame, batch: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(parsed pages, frontier, visited) after one round: the best of the frontier are looked up in pages (page_id, url,
+    """(parsed pages, frontier, newly admitted (url)) of one round: the best of the frontier are looked up in pages (page_id, url,
     html), parsed, and their links admitted by host cap, visited set and robots. URLs that wait in the frontier hold their host's
     slots until they are taken; new ones queue up behind the older ones, in the order of their pages and links."""
     taken = pop(frontier, batch)
@@ -97,7 +97,7 @@ def crawl_round(frontier: DataFrame, visited: DataFrame, pages: DataFrame, robot
     links = distinct_urls(discovered(parsed), order)
     fresh = allowed(unseen(links, visited), robots).where("allowed").drop("allowed")
     admitted = in_turn(capped_by_host(fresh, order, busy), order, frontier)
-    return parsed, capped_by_level(rest.unionByName(prioritized(admitted, F.col("seq")))), visited.unionByName(admitted.select("url"))
+    return parsed, capped_by_level(rest.unionByName(prioritized(admitted, F.col("seq")))), admitted.select("url")
 
 
 def crawl(seeds: DataFrame, pages: DataFrame, robots: DataFrame, rounds: int, batch: int, store=stored, on_round=None, stop=None, state: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -111,7 +111,8 @@ def crawl(seeds: DataFrame, pages: DataFrame, robots: DataFrame, rounds: int, ba
     for k in range(rounds):
         if stop is not None and stop():
             break
-        parsed, frontier, visited = map(store, crawl_round(frontier, visited, pages, robots, batch))
+        parsed, frontier, new = map(store, crawl_round(frontier, visited, pages, robots, batch))
+        visited = visited.unionByName(new)  # a round writes only what it adds
         met = met.unionByName(parsed.select("page_id", F.lit(k).alias("round")))
         if on_round is not None:
             on_round(k, parsed, frontier, visited)
@@ -132,6 +133,6 @@ def old_crawl(seeds: DataFrame, pages: DataFrame, rounds: int, batch: int, store
         order = [F.col("page_id"), F.col("no")]
         fresh = unseen(distinct_urls(old_link_limits(links).select("page_id", "no", "url"), order), seen)
         after = store(rest.select("url", "seq").unionByName(in_turn(fresh, order, queue).select("url", "seq")).orderBy("seq").limit(queue_cap))
-        seen = store(seen.unionByName(after.join(rest.select("url"), "url", "left_anti").select("url")))
+        seen = seen.unionByName(store(after.join(rest.select("url"), "url", "left_anti").select("url")))
         queue, met = after, met.unionByName(parsed.select("page_id", F.lit(k).alias("round")))
     return met
