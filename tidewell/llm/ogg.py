@@ -4,11 +4,13 @@ A page counts if its checksum (CRC-32, polynomial 0x04c11db7, over the page with
 are counted and skipped, and the search for the next page goes on right behind their capture pattern. Packets are put together
 from the lacing values, across pages where the next page continues them; a packet that lost a page is dropped, and what of
 it follows is skipped. Pages go to their streams by serial number. A page's granule position is the end of the last packet that ends on it;
-where the packets' durations are known (Opus, from their first byte), the ends of the others are counted back from it, else
-only a page's last packet has a time. The clock is 48 kHz less the pre-skip for Opus, the sample rate of the identification
+where the packets' durations are known (Opus, from their first byte; Vorbis, from the block sizes of their modes, which stand at the
+end of the setup header), the ends of the others are counted back from it, else only a page's last packet has a time. A stream's last page may say an end before that of its last packet, whose rest isn't to be
+played: on a page with the end flag, ends are counted forward from the page before (from 0 if none has a time; without one where
+pages were lost) and none lies beyond the page's. The clock is 48 kHz less the pre-skip for Opus, the sample rate of the identification
 header for Vorbis, and `rate` (none by default) for others.
 
-Defined cases: null and empty columns have no packet; bytes before, between and after pages are passed over; a page cut short
+Defined cases: null and empty columns have no packet; an id is a whole number or null; bytes before, between and after pages are passed over; a page cut short
 counts as damaged; a granule of -1 gives no time; repeated rows are each read; an empty table gives an empty result; extra columns
 are not read, whatever their names; streams of any length are read whole.
 """
@@ -19,7 +21,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +81,20 @@ def opus_samples(packet: bytes) -> int:
     return int(OPUS_MS[packet[0] >> 3] * 48) * frames
 
 
+def vorbis_modes(setup: bytes) -> list[int]:
+    """The block flag of each mode in a Vorbis setup header, which ends with the number of modes less 1 (6 bits), the modes (a
+    flag, 16 + 16 bits of 0, 8 bits of mapping below 64) and a bit of 1. Read from the end: the most modes that their number agrees with."""
+    bits = "".join(f"{b:08b}" for b in reversed(setup[-512:]))  # bits go up from each byte's lowest, so this runs from the last to the first
+    at_ = bits.find("1") + 1
+    flags, found = [], []
+    while at_ and len(bits) - at_ >= 47 and len(flags) < 64 and int(bits[at_ : at_ + 8], 2) < 64 and "1" not in bits[at_ + 8 : at_ + 40]:
+        flags.append(int(bits[at_ + 40]))
+        at_ += 41
+        if int(bits[at_ : at_ + 6], 2) + 1 == len(flags):
+            found = flags[::-1]
+    return found
+
+
 @dataclass
 class Stream:
     """One logical stream; packets come out as [number, bytes, granule of its end or None]."""
@@ -86,18 +102,21 @@ class Stream:
     rate: float | None = None
     skip: int = 0
     opus: bool = False
+    blocks: tuple[int, int] | None = None  # Vorbis: samples of a short and a long block
+    modes: list[int] | None = None
+    block: int | None = 0  # of the packet before: 0 before the first, None if that was lost
     next_: int | None = None
     held: list[bytes] | None = None
     count: int = 0
     headers: int = 1
-    out: list[list] = field(default_factory=list)
+    ended: int | None = 0  # granule at the end of the page before; None if that page was lost
 
     def feed(self, p: Page) -> list[list]:
         lost = self.next_ is not None and p.sequence != self.next_
         self.next_ = (p.sequence + 1) & 0xFFFFFFFF
         whole, parts = [], p.parts
         if lost:
-            self.held = None
+            self.held = self.ended = self.block = None
         if p.flags & 1:  # goes on with the last packet of the page before
             if self.held is not None and parts:
                 self.held.append(parts[0])
@@ -116,23 +135,47 @@ class Stream:
         for data in whole:
             if self.count == 0:
                 self._identify(data)
+            elif self.count == 2 and self.blocks:
+                self.modes = vorbis_modes(data)
             found.append([self.count, data, None])
             self.count += 1
         body = [x for x in found if x[0] >= self.headers]
+        lasts = [self._lasts(x[1]) for x in body]
         if body and p.granule >= 0:
-            end = p.granule
-            for x in reversed(body):
-                x[2] = end
-                if not self.opus:
-                    break
-                end -= opus_samples(x[1])
+            body[-1][2] = p.granule
+            if not p.flags & 4:
+                for k in range(len(body) - 1, 0, -1):
+                    if lasts[k] is None:
+                        break
+                    body[k - 1][2] = body[k][2] - lasts[k]
+            elif self.ended is not None:
+                end = self.ended
+                for x, n in zip(body[:-1], lasts, strict=False):
+                    if n is None:
+                        break
+                    end += n
+                    x[2] = min(end, p.granule)
+            self.ended = p.granule
         return found
 
+    def _lasts(self, packet: bytes) -> int | None:
+        """How many samples a packet adds; None where that isn't known."""
+        if self.opus:
+            return opus_samples(packet)
+        if not self.modes or not self.blocks:
+            return None
+        mode = packet[0] >> 1 & (1 << (len(self.modes) - 1).bit_length()) - 1 if packet and not packet[0] & 1 else len(self.modes)
+        if mode >= len(self.modes):
+            return 0  # no sound in it
+        before, self.block = self.block, self.blocks[self.modes[mode]]
+        return None if before is None else (before + self.block) // 4 if before else 0
+
     def _identify(self, data: bytes) -> None:
         if data[:8] == b"OpusHead" and len(data) >= 12:
             self.rate, self.opus, self.headers, self.skip = 48_000.0, True, 2, struct.unpack_from("<H", data, 10)[0]
         elif data[:7] == b"\x01vorbis" and len(data) >= 16:
             self.rate, self.headers = float(struct.unpack_from("<I", data, 12)[0]) or None, 3
+            self.blocks = (1 << (data[28] & 15), 1 << (data[28] >> 4)) if len(data) > 28 else None
 
 
 def demultiplex(data: bytes | None, rate: float | None = None) -> tuple[list[tuple[int, int, bytes, int | None, float | None]], int]:
