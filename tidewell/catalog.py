@@ -45,7 +45,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_path(spark: SparkSession, sf_dir: str, kind: str) -> str:
     """Where the index of the documents or pages of sf_dir lies; written at its first use in this application."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _built:
+    if key not in _built or not store.exists(spark, f"{_built[key]}/terms"):
         path = store.new_path(spark, f"index-{kind}")
         docs = documents(spark, sf_dir) if kind == "documents" else index.docs_of_pages(pages(spark, sf_dir))
         index.IndexBuilder(CHUNK, SERVERS).add(docs).write(path)

@@ -31,6 +31,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """df written as Parquet and read again."""
     path = new_path(df.sparkSession, name)
