@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -270,9 +268,7 @@ def streamed(name: str, run, mode: str = "append"):
     """A query that runs a stream over what a table holds and returns what came out."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        table_ = f"tw_{name}_{uuid.uuid4().hex}"
-        stream.written(run(spark, sf_dir), table_, store.new_path(spark, f"stream-{name}"), mode)
-        return spark.table(table_)
+        return stream.stored_stream(run(spark, sf_dir), store.new_path(spark, f"stream-{name}"), store.new_path(spark, f"progress-{name}"), mode)
 
     return query
 

@@ -58,6 +58,20 @@ def each_batch(stream: DataFrame, hook: Callable[[DataFrame, int], None], checkp
     stream.writeStream.foreachBatch(hook).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def stored_stream(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs the stream over what is there now into Parquet below path, and reads that. A micro-batch that is run again overwrites what
+    it wrote before; in complete mode the last one's table stays."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/none")
+
+    def write(rows: DataFrame, no: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/{'whole' if mode == 'complete' else no}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
+
+
 def replayed(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
     """A stored table as a stream, so many files a micro-batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
