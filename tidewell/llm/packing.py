@@ -11,7 +11,7 @@ with the items. Each item then finds its bin by its number among the items of it
 and the counts of the shards before. Only (doc_id, length) is shuffled, never text; shards bound a task's rows and only decide
 which of several equal items goes where.
 
-Defined cases: null and empty texts have no token and are in no bin; a null doc_id stays null; items of equal size are
+Defined cases: null and empty texts have no token and are in no bin; a null doc_id stays null, any other is a whole number; items of equal size are
 interchangeable: they go by shard (a hash of doc_id and length), then by doc_id and piece; repeated rows are items of their own; an empty
 table gives an empty result; other columns are not read; texts of any length are packed whole.
 """

@@ -8,7 +8,9 @@ Depth follows density. forest() takes the depth at which a bucket is expected to
 the DESIGN distance, the farthest that the verifier accepts, needs to meet with probability TARGET: deeper prefixes are bought
 with more trees (their number grows as about points ** 0.43). Within a bucket, which is one task's work, a forest of further tries goes on:
 prefixes over fresh bit orders deepen with the number of points until few unlike ones (DENSE) share one, and the number of tries
-keeps the recall at the DESIGN distance at LOCAL_TARGET (INNER_TARGET further in); forest() counts with that loss.
+keeps the recall at the DESIGN distance at LOCAL_TARGET (INNER_TARGET further in); forest() counts with that loss. Seen from a point,
+its query starts at the deep prefixes of a dense place or at the short ones of a sparse place, which is as far up as it has to
+climb for the target recall there, and no farther.
 
 Groups of near copies don't cost their square: random pivots are compared with a whole dense bucket first, hits are united at once,
 and points that are known to be linked are not compared again; only the few outside of a bucket's main group meet all of it.
@@ -21,7 +23,7 @@ cosine of about 0.83 and 0.6). Verified links leave a bucket as stars, so a grou
 components over the stars give the groups; the least doc_id of a group is kept.
 
 Defined cases: words are runs of letters and digits, lower-cased; a null text or one without any word is like nothing and is
-kept; texts of one word have no pair and are alike only if all their bits are; rows of the same doc_id are one document; a
+kept; texts of one word have no pair and are alike only if all their bits are; rows of the same doc_id (a whole number) are one document; a
 row without a doc_id is like nothing and is kept; an empty table gives an empty result; extra columns pass through; texts of
 any length are hashed whole.
 """
