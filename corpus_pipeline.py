@@ -1,4 +1,11 @@
-"""The corpus pipeline: toxic documents go, then exact and near copies; sources are mixed to their weights; the rest is packed."""
+"""The corpus pipeline: toxic documents go, then exact and near copies; sources are mixed to their weights; the rest is packed.
+
+Defined cases, as each stage's operator states them: a null text is not toxic, equals nothing, is like nothing, has no token and so comes
+into no bin; an empty one likewise, but that equal empty texts leave one; a row without a doc_id is kept unless another row has its
+text, and its bins say null; of rows repeated whole one stays; ties go by doc_id; very long texts are read whole and fill several bins;
+an empty table gives an empty result at each stage; extra columns, of whatever names, pass through to the last stage, which
+returns its own columns only. Without labels of both kinds no document is toxic.
+"""
 
 from __future__ import annotations
 
