@@ -122,8 +122,8 @@ def term_stats(posts: DataFrame) -> DataFrame:
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """(n_terms, n_tokens): distinct terms, and tokens with one per document for its end."""
-    words = postings(docs).agg(F.count_distinct("term").alias("n_terms"))
-    return words.crossJoin(docs.agg(F.coalesce(F.sum(F.col("doc_len") + 1), F.lit(0)).alias("n_tokens")))
+    ends = docs.select(F.lit(None).cast("string").alias("term"))
+    return postings(docs).select("term").unionByName(ends).agg(F.count_distinct("term").alias("n_terms"), F.count("*").alias("n_tokens"))
 
 
 class IndexBuilder:
