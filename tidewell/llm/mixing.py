@@ -25,10 +25,10 @@ def source_rates(docs: DataFrame, weights: dict[str, int], default_weight: int,
     pairs = [F.lit(x) for kv in weights.items() for x in kv]
     weight = F.coalesce(F.element_at(F.create_map(*pairs), F.col("source")), F.lit(default_weight)) if pairs else F.lit(default_weight)
     per = stored(per.withColumn("weight", weight.cast("long")))
-    total = per.where("tokens > 0").agg(F.sum("weight").alias("weights"), F.sum("tokens").alias("total"))
-    goal = F.col("total") if target_tokens is None else F.lit(target_tokens).cast("long")
-    rate = (F.col("weight") * goal).cast("double") / (F.col("weights") * F.col("tokens")).cast("double")
-    return per.crossJoin(F.broadcast(total)).select("source", "tokens", F.when(F.col("tokens") > 0, rate).otherwise(F.lit(1.0)).alias("rate"))
+    sums = per.where("tokens > 0").agg(F.sum("weight").alias("weights"), F.sum("tokens").alias("total")).first()
+    goal = (sums.total or 0) if target_tokens is None else target_tokens
+    rate = (F.col("weight") * F.lit(goal).cast("long")).cast("double") / (F.lit(sums.weights or 1).cast("long") * F.col("tokens")).cast("double")
+    return per.select("source", "tokens", F.when(F.col("tokens") > 0, rate).otherwise(F.lit(1.0)).alias("rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, seed: int = SEED, target_tokens: int | None = None, copy_col: str | None = None) -> DataFrame:
