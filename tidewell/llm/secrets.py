@@ -15,7 +15,7 @@ its repeats; every walk, of 3 characters at least, between keys that touch (or t
 any span, where each character takes as many guesses as the character classes in the span have members. A unit of more than
 UNIT characters that is a repeat itself is left out: no word or date is that long, so its own unit costs no more.
 
-Defined cases: null and empty texts have no value; a value ends at its quote or at white space, comma or semicolon; values
+Defined cases: null and empty texts have no value; doc_id is a whole number; a value ends at its quote or at white space, comma or semicolon; values
 of any length are scored whole; repeated rows are each reported; rows without a doc_id are reported with null; an empty table
 gives an empty result; other columns are not read. Values are shown as a digest, never in clear.
 """
@@ -25,11 +25,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 from math import inf, log10
+from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import at, read
@@ -37,6 +39,7 @@ from .common import at, read
 MIN_LOG10, SPLIT, UNIT, WALK, LONG, MIN_DOCS = 12.0, 1.0, 16, 3, 40, 2
 NAMES = "pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?"
 CONTEXT = rf"""(?i)({NAMES})[a-z0-9_]*["']?[ \t]*(?:=>|:=|=(?!>)|:(?!=))[ \t]*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;]+))"""
+STEMS = ("pass", "pwd", "secret", "token", "key", "credential")  # each name of NAMES has one of them
 WORDS = """password 123456 qwerty admin welcome login letmein monkey dragon master hello freedom whatever trustno shadow sunshine
 princess football baseball superman batman iloveyou secret test guest root default changeme example sample dummy placeholder
 your token key pass user name abc access private public server database mysql oracle system windows linux apple google
@@ -151,9 +154,15 @@ def _guesses(v: str, memo: dict[str, float], ranks: dict[str, int]) -> float:
     return memo[v]
 
 
+def has_place(text: Column) -> Column:
+    """Whether CONTEXT is found; texts without any stem of its names, most of them, are spared the pattern."""
+    low = F.lower(text)
+    return reduce(or_, (F.contains(low, F.lit(s)) for s in STEMS)) & text.rlike(CONTEXT)
+
+
 def word_ranks(docs: DataFrame) -> DataFrame:
     """(word, rank) of the words that MIN_DOCS documents have outside of credential values; rank 1 is in the most documents."""
-    text = F.when(at("text").rlike(CONTEXT), F.regexp_replace(at("text"), CONTEXT, "$1 ")).otherwise(at("text"))
+    text = F.when(has_place(at("text")), F.regexp_replace(at("text"), CONTEXT, "$1 ")).otherwise(at("text"))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))).alias("word"))
     counts = words.where(F.length("word").between(2, LONG)).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
     levels = counts.groupBy("n").agg(F.count("*").alias("words"))
@@ -173,7 +182,7 @@ def parts(v: str) -> set[str]:
 
 def scan(docs: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
     """(doc_id, name, digest, length, log10_guesses, secret) of every value in a credential's place, over whole texts."""
-    found = docs.where(at("text").rlike(CONTEXT)).select(at("doc_id").cast("long").alias("doc_id"), F.explode(F.regexp_extract_all(at("text"), F.lit(CONTEXT), F.lit(0))).alias("hit"))
+    found = docs.where(has_place(at("text"))).select(at("doc_id").cast("long").alias("doc_id"), F.explode(F.regexp_extract_all(at("text"), F.lit(CONTEXT), F.lit(0))).alias("hit"))
     pattern = re.compile(CONTEXT, re.ASCII)
 
     def read_hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
