@@ -53,8 +53,35 @@ def test_passages(spark, odd_documents, no_documents):
     p, q = words(60), words(49)
     texts = [words(30) + p + words(40), p + words(90), words(100) + p, words(20) + q + words(20), q + words(70), words(300), words(10) + p + p[:49]]
     df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {tuple(r) for r in suffixes.repeated_passages(df).collect()}
-    assert got == {(0, 30, 90), (1, 0, 60), (2, 100, 160), (6, 10, 70)}
+    for hot in (suffixes.HOT, 3, 1):  # no hot anchor, some, and all that repeat
+        got = {tuple(r) for r in suffixes.repeated_passages(df, hot).collect()}
+        assert got == {(0, 30, 90), (1, 0, 60), (2, 100, 160), (6, 10, 70)}
     odd = [tuple(r) for r in suffixes.repeated_passages(odd_documents).collect()]
     assert odd == [(6, 0, 60_000)]
     assert suffixes.repeated_passages(no_documents).count() == 0
+
+
+def test_hot_passage_in_many_documents(spark):
+    """A passage in a third of 3,000 documents, hot or not, against all windows; rows repeated whole and null doc_ids among them."""
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    shared, pair = words(70), words(55)
+    rows = [(k, words(12) + (shared if k % 3 == 0 else pair if k in (1, 2) else words(60)) + words(9)) for k in range(3_000)]
+    rows += [rows[4], rows[4], (None, rows[0][1])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(5)
+    want = {(k, 12, 82) for k in range(3, 3_000, 3)} | {(1, 12, 67), (2, 12, 67), (None, 0, 91), (0, 0, 91)}
+    for hot in (500, suffixes.HOT):
+        got = [tuple(r) for r in suffixes.repeated_passages(df, hot).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_sieve_of_few_bits(spark):
+    """Bits that other anchors share only make more windows go the hot way."""
+    rng = np.random.default_rng(6)
+    p = [f"w{x}" for x in rng.integers(0, 10**9, 60)]
+    rows = [(k, k, " ".join([f"a{k}"] * 60 + p)) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, who long, text string")
+    grams = suffixes.anchors(suffixes.words_of([" ".join(p)])[0])[1].view(np.int64).tolist()
+    hot = spark.createDataFrame([(g,) for g in grams], "key long")
+    some, all_ = ({tuple(r) for r in suffixes.hot_spans(docs, hot, bits).collect()} for bits in (1 << 27, 1))
+    assert {(k, k, 60 + j, 110 + j) for k in range(20) for j in range(11)} <= some <= all_

@@ -13,10 +13,13 @@ A passage of LENGTH words that occurs at two places, in one document or two, is
    their common prefix is shorter than its words; after LENGTH / STEP rounds, intervals that no boundary parts share
    LENGTH words, and those with two suffixes are the repeats.
 
-The words of a bucket are bounded by choosing the number of buckets from the counted anchors, except that all windows
-of one anchor share a bucket; a passage in very many documents makes a large bucket (see README).
+The words of a bucket are bounded: the number of buckets follows from the counted anchors, and an anchor with more windows than fill a quarter of a
+bucket (HOT) goes to none. Windows over such hot anchors, one per place and nothing around it, are hashed whole (128 bits) and counted
+before they are shuffled, which splits a hot anchor by all of its contexts, so that a passage in a third of all documents is no
+task's load. Which windows those are is read from bits of a fixed number (SIEVE_BITS); a bit that another anchor shares makes more
+windows go this way too, with the same result.
 
-Defined cases: words are runs of characters other than ASCII white space, compared as bytes; null, empty and shorter texts have no
+Defined cases: words are runs of characters other than ASCII white space, compared as bytes; doc_id is a whole number; null, empty and shorter texts have no
 passage; a document is a (doc_id, text), so rows repeated whole are one document; a row without a doc_id is reported
 with null; spans that touch or overlap are one; texts of any length are read whole; an empty table gives an empty result; other
 columns are not read.
@@ -32,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import at, read, stored
+from .common import at, read, small, stored
 
 LENGTH, STEP, GRAM, BUCKET_WORDS, SHARD_WORDS = 50, 10, 8, 1_500_000, 500_000
+HOT, SIEVE_BITS, SIEVE_PART = BUCKET_WORDS // (4 * (2 * LENGTH - GRAM)), 1 << 27, 32768
 SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 BASE = 0x9E3779B97F4A7C15
 SPANS = "doc_id long, who long, start long, end long"
@@ -78,8 +82,8 @@ def words_of(texts: list[str]) -> list[np.ndarray]:
     return np.split(run_hashes(raw, starts, ends), np.searchsorted(starts, places[1:-1]))
 
 
-def anchors(words: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the least gram of each window of length words."""
+def least_grams(words: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of length words the place of its least gram, and the hash of the gram at each place."""
     n, wide = len(words) - gram + 1, length - gram + 1
     if len(words) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -91,16 +95,23 @@ def anchors(words: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[
     ahead = np.minimum.accumulate(block, axis=1).ravel()
     back = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(back[: n - wide + 1], ahead[wide - 1 : n])
-    place = (np.unique(least) & np.uint64((1 << int(low)) - 1)).astype(np.int64)
-    place.sort()
+    return (least & np.uint64((1 << int(low)) - 1)).astype(np.int64), h
+
+
+def anchors(words: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the least gram of each window of length words."""
+    place, h = least_grams(words, length, gram)
+    place = place[np.r_[True, place[1:] != place[:-1]]] if len(place) else place  # places never go back
     return place, h[place]
 
 
 def distribute(symbols: np.ndarray) -> np.ndarray:
-    """The stable order of symbols below 2**32, by two passes over 16 bits."""
-    order = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable")
-    high = (symbols >> 16).astype(np.uint16)
-    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+    """The stable order of symbols below 2**48, by passes over 16 bits."""
+    digits = np.ascontiguousarray(symbols).view(np.uint16).reshape(-1, 4)  # little-endian
+    order = np.argsort(digits[:, 0], kind="stable")
+    for k in (1, 2):
+        order = order[np.argsort(digits[order, k], kind="stable")]
+    return order
 
 
 class Shard:
@@ -115,8 +126,8 @@ class Shard:
 
 
 def symbols(strings: list[np.ndarray], step: int) -> tuple[np.ndarray, np.ndarray]:
-    """For all suffixes of all strings, laid end to end: a number for the step words from there on (equal for equal
-    words only, unique where fewer are left), and the suffix step words before, in the string's circle."""
+    """For all suffixes of all strings, laid end to end: a symbol for the step words from there on (a hash below 2**47; where fewer
+    words are left, a number of its own above), and the suffix step words before, in the string's circle."""
     sizes = np.array([len(s) + step for s in strings])
     starts = np.cumsum(sizes) - sizes
     total = int(sizes.sum())
@@ -127,10 +138,8 @@ def symbols(strings: list[np.ndarray], step: int) -> tuple[np.ndarray, np.ndarra
     rel = np.arange(total) - own
     size = np.repeat(sizes, sizes)
     whole = np.flatnonzero(rel <= size - 2 * step)
-    h = run_hashes(flat, whole, whole + step)
-    _, number = np.unique(h, return_inverse=True)
-    out = np.arange(total) + (int(number.max()) + 1 if len(number) else 0)
-    out[whole] = number
+    out = np.arange(total, dtype=np.uint64) | np.uint64(1 << 47)
+    out[whole] = run_hashes(flat, whole, whole + step) >> np.uint64(17)
     return out, own + (rel - step) % size
 
 
@@ -162,7 +171,7 @@ def merge(a: Shard, b: Shard, rounds: int) -> Shard:
     source[len(a.front) :] = True
     bound = np.zeros(n, dtype=bool)
     bound[:1] = True
-    read_ = np.empty(n, dtype=np.int64)
+    read_ = np.empty(n, dtype=np.uint64)
     for _ in range(rounds):
         read_[~source], read_[source] = a.front, b.front
         order = distribute(read_)
@@ -170,7 +179,7 @@ def merge(a: Shard, b: Shard, rounds: int) -> Shard:
         source = source[order]
         bound = np.ones(n, dtype=bool)
         bound[1:] = (sym[1:] != sym[:-1]) | (interval[1:] != interval[:-1])
-    front, place = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    front, place = np.empty(n, dtype=np.uint64), np.empty(n, dtype=np.int64)
     front[~source], front[source] = a.front, b.front
     place[~source], place[source] = a.place, b.place
     return Shard(front, place, bound)
@@ -228,8 +237,46 @@ def _windowed(buckets: int):
     return run
 
 
+def _hot_windows(parts: dict[int, bytes], bits: int):
+    """Documents (doc_id, who, text) -> (doc_id, who, start, h, g): the windows whose anchor's bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(-(-bits // SIEVE_PART) * SIEVE_PART // 8, dtype=np.uint8)
+        for k, packed in parts.items():
+            on[(k - 1) * SIEVE_PART // 8 : k * SIEVE_PART // 8] = np.frombuffer(packed, dtype=np.uint8)
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                n, start, h, g = [], [], [], []
+                for words in words_of(part.column(2).to_pylist()):
+                    place, grams = least_grams(words)
+                    slot = np.mod(grams.view(np.int64), bits)
+                    hot = ((on[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+                    s = np.flatnonzero(hot[place])
+                    n.append(len(s)), start.append(s)
+                    h.append(run_hashes(words, s, s + LENGTH)), g.append(run_hashes(mixed(words), s, s + LENGTH))
+                rows = np.repeat(np.arange(part.num_rows), n)
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array(np.concatenate(start).astype(np.int64)),
+                    pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(g).view(np.int64)),
+                ], ["doc_id", "who", "start", "h", "g"])
+
+    return run
+
+
+def hot_spans(docs: DataFrame, hot: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
+    """SPANS of the repeated windows over the anchors hot (key), from documents (doc_id, who, text)."""
+    slot = F.pmod("key", F.lit(bits)) + 1
+    packed = hot.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    parts = {r.part: bytes(r.bits) for r in packed.collect()}  # at most bits / 8 bytes
+    windows = docs.select("doc_id", "who", "text").mapInArrow(_hot_windows(parts, bits), "doc_id long, who long, start long, h long, g long")
+    windows = stored(windows.groupBy("doc_id", "who", "start").agg(F.min("h").alias("h"), F.min("g").alias("g")))  # repeated rows are one document
+    often = stored(windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"))
+    return windows.join(small(often), ["h", "g"]).select("doc_id", "who", "start", (F.col("start") + LENGTH).alias("end"))
+
+
 def _passages(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.drop_duplicates(["who", "start"])
+    pdf = pdf.drop_duplicates(["doc_id", "who", "start"])
     out = []
     strings = [np.frombuffer(w, dtype=np.uint32) for w in pdf["words"]]
     for i, w, s, hit in zip(pdf["doc_id"], pdf["who"], pdf["start"], repeated(strings), strict=True):
@@ -239,16 +286,19 @@ def _passages(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["doc_id", "who", "start", "end"]).astype({"doc_id": "Int64"})
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word) of the longest runs of words all of which lie in a repeated passage of LENGTH words."""
     docs = docs.where(at("text").isNotNull()).select(at("doc_id").cast("long").alias("doc_id"), F.xxhash64(at("doc_id"), at("text")).alias("who"), at("text").alias("text"))
-    marks = docs.select("who", "text").mapInArrow(_anchored, "who long, pos long, key long")
-    often = marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    mine = stored(marks.join(often, "key").groupBy("who").agg(F.collect_set(F.struct("pos", "key")).alias("marks")))
+    marks = stored(docs.select("who", "text").mapInArrow(_anchored, "who long, pos long, key long"))
+    often = stored(marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    mine = stored(marks.join(often.where(F.col("n") <= hot).select("key"), "key").groupBy("who").agg(F.collect_set(F.struct("pos", "key")).alias("marks")))
     count = mine.agg(F.sum(F.size("marks"))).first()[0] or 0
     buckets = max(1, -(-count * (2 * LENGTH - GRAM) // BUCKET_WORDS))
     windows = docs.join(mine, "who").select("doc_id", "who", "text", "marks").mapInArrow(_windowed(buckets), "bucket long, doc_id long, who long, start long, words binary")
     found = windows.groupBy("bucket").applyInPandas(_passages, SPANS)
+    loud = often.where(F.col("n") > hot).select("key")
+    if not loud.isEmpty():
+        found = found.unionByName(hot_spans(docs, loud))
     by = Window.partitionBy("who", "doc_id").orderBy("start", "end")
     far = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     spans = found.withColumn("new", F.when(far >= F.col("start"), 0).otherwise(1)).withColumn("no", F.sum("new").over(by))
