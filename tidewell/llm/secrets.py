@@ -209,10 +209,11 @@ def scan(docs: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
 
     values = found.mapInPandas(read_hits, "doc_id long, name string, value string")
     distinct = values.select("value").distinct()
-    known = distinct.mapInPandas(list_parts, "value string, word string").join(word_ranks(docs), "word")
+    # Spark takes what Python returns for as small as what it was given and would broadcast it: these joins are by shuffle
+    known = distinct.mapInPandas(list_parts, "value string, word string").hint("merge").join(word_ranks(docs), "word")
     known = known.groupBy("value").agg(F.collect_list(F.struct("word", "rank")).alias("words"))
     scored = distinct.join(known, "value", "left").mapInPandas(score, "value string, digest string, length int, log10_guesses double, secret boolean")
-    return values.join(scored, "value").select("doc_id", "name", "digest", "length", "log10_guesses", "secret")
+    return values.join(scored.hint("merge"), "value").select("doc_id", "name", "digest", "length", "log10_guesses", "secret")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
