@@ -7,8 +7,11 @@ three, and 1 over the width of the whole query's span if every word was found; a
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DECAY, TITLE = 1.05, 30.0
 
@@ -25,38 +28,41 @@ def rarest(counts: list[Column]) -> Column:
     return F.coalesce(F.array_min(found).getField("i"), F.lit(0))
 
 
-def _weight(ordered: Column) -> Column:
-    return F.when(ordered, 1.0).otherwise(0.5)
+def score(places: list[np.ndarray], rare: int) -> float:
+    """The sum for one document: sorted positions of the query's words, and the number of the rarest. Nearest occurrences come from
+    binary search, so a document costs about its positions, not their square."""
+    r, k = places[rare], len(places)
+    if not len(r):
+        return 0.0
+    near = {}
+    for i, p in enumerate(places):
+        if len(p):
+            j = np.searchsorted(p, r)
+            before, after = p[np.maximum(j - 1, 0)], p[np.minimum(j, len(p) - 1)]
+            near[i] = np.where((j > 0) & ((j == len(p)) | (r - before <= after - r)), before, after)
+    met = [i for i in near if i != rare]
+    fits = {i: near[i] <= r if i < rare else near[i] >= r for i in met}
+    gain = np.zeros(len(r))
+    for n, i in enumerate(met):
+        gain += np.where(fits[i], 1.0, 0.5) / np.maximum(np.abs(near[i] - r), 1)
+        for j in met[n + 1 :]:
+            ordered = fits[j] & (near[i] <= near[j] if j < rare else fits[i])
+            width = np.maximum(np.maximum(near[i], near[j]), r) - np.minimum(np.minimum(near[i], near[j]), r)
+            gain += np.where(ordered, 1.0, 0.5) / np.maximum(width, 1)
+    if len(met) == k - 1:
+        all_ = np.stack(list(near.values()))
+        width = all_.max(axis=0) - all_.min(axis=0)
+        gain += np.where(width > 0, 1.0 / np.maximum(width, 1), 0.0)
+    with np.errstate(over="ignore"):
+        return float((gain / DECAY ** r.astype(float)).sum())
+
+
+@F.pandas_udf(T.DoubleType())
+def _scores(table: pd.Series, rare: pd.Series) -> pd.Series:
+    return pd.Series([score([np.asarray(p) for p in places], int(r)) for places, r in zip(table, rare, strict=True)], dtype=float)
 
 
 def text_score(places: list[Column], rare: Column) -> Column:
-    """The sum for the sorted position arrays of the query's words, repeats included."""
-    k = len(places)
-    if k < 2:
-        return F.lit(0.0)
-    table = F.array(*places)
-    seen = F.transform(F.element_at(table, rare + 1), lambda x: F.struct(x.alias("x"), F.transform(table, lambda p: nearest(p, x)).alias("n")))
-
-    def gain(v: Column) -> Column:
-        x, n = v.getField("x"), v.getField("n")
-        total = F.lit(0.0)
-        met = F.filter(F.transform(n, lambda y, i: F.struct(y.alias("y"), i.alias("i"))), lambda s: s.getField("y").isNotNull() & (s.getField("i") != rare))
-
-        def in_order(s: Column) -> Column:
-            return ((s.getField("i") < rare) & (s.getField("y") <= x)) | ((s.getField("i") > rare) & (s.getField("y") >= x))
-
-        def single(acc: Column, s: Column) -> Column:
-            pairs = F.aggregate(F.filter(met, lambda t: t.getField("i") > s.getField("i")), F.lit(0.0), lambda a, t: a + pair(s, t)) if k > 2 else F.lit(0.0)
-            return acc + _weight(in_order(s)) / F.greatest(F.abs(s.getField("y") - x), F.lit(1)) + pairs
-
-        def pair(s: Column, t: Column) -> Column:
-            a, b, j = s.getField("y"), t.getField("y"), t.getField("i")
-            ordered = ((j < rare) & (b <= x) & (a <= b)) | ((j > rare) & (b >= x) & in_order(s))
-            return _weight(ordered) / F.greatest(F.greatest(a, b, x) - F.least(a, b, x), F.lit(1))
-
-        total = F.aggregate(met, F.lit(0.0), single)
-        width = F.array_max(n) - F.array_min(n)
-        span = F.when((F.size(met) == k - 1) & (width > 0), 1.0 / width).otherwise(0.0)
-        return (total + span) / F.pow(F.lit(DECAY), x)
-
-    return F.aggregate(seen, F.lit(0.0), lambda acc, v: acc + gain(v))
+    """score() of the sorted position arrays of the query's words, repeats included. A column of documents goes to Python at once: built-in
+    array functions have no binary search and would compare each occurrence with all of every word."""
+    return _scores(F.array(*places), rare.cast("int")) if len(places) > 1 else F.lit(0.0)
