@@ -278,7 +278,8 @@ def replayed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream.host_slots(replayed(spark, sf_dir, "pages").select("url", F.lit("add").alias("kind"), F.col("page_id").alias("seq")))
+    asked = stream.replayed_in_order(table(spark, sf_dir, "pages").select("url", F.col("page_id").alias("seq")), "seq")
+    return stream.host_slots(asked.select("url", F.lit("add").alias("kind"), "seq"))
 
 
 def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:

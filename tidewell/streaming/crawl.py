@@ -11,6 +11,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.urls import TRUSTED, hostname, url_key
 from ..operators.crawllog import LINE_DOCS
+from ..operators.store import new_path
+
+#: About how many rows of a table that is replayed in order make a micro-batch.
+BATCH_ROWS = 500_000
 
 
 def new_urls(urls: DataFrame, watermark: str | None = None, ts: str = "ts") -> DataFrame:
@@ -77,6 +81,17 @@ def replayed(spark: SparkSession, path: str, schema: str, files: int = 1) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def replayed_in_order(rows: DataFrame, by: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """rows as a stream in the order of a column, whatever files they lie in: a micro-batch holds one range of it and comes after all lower
+    ranges. A file source takes files by their time, so each range is written as a file of its own, one after the other."""
+    spark, ranges, path = rows.sparkSession, new_path(rows.sparkSession, "ranges"), new_path(rows.sparkSession, "ordered")
+    rows.repartitionByRange(-(-rows.count() // batch_rows) or 1, by).withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(ranges)
+    spark.createDataFrame([], rows.schema).coalesce(1).write.parquet(f"{path}/none")
+    for (k,) in sorted(spark.read.schema(f"{by} string, _range int").parquet(ranges).select("_range").distinct().collect()):
+        spark.read.schema(rows.schema).parquet(f"{ranges}/_range={k}").coalesce(1).write.parquet(f"{path}/{k:08d}")
+    return replayed(spark, f"{path}/*", rows.schema)
+
+
 def written(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> None:
     """Runs the stream over what is there now into an in-memory table."""
     stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
