@@ -82,7 +82,7 @@ def index_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = index.inverted(index.postings(documents(spark, sf_dir)))
+    found = index.by_document(documents(spark, sf_dir))
     return found.select("term", "doc_id", F.size("positions").cast("long").alias("n"), F.element_at("positions", 1).alias("first_pos"), F.element_at("positions", -1).alias("last_pos"))
 
 
@@ -91,7 +91,7 @@ def doc_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.term_stats(index.postings(documents(spark, sf_dir)))
+    return index.term_stats(documents(spark, sf_dir))
 
 
 def chunk_layout(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,16 +10,21 @@ Positions count from the document's first word, so no phrase crosses documents;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import terms, terms_of
+from .store import drop
 
 CHUNK_TOKENS = 30_000_000
+#: Tokens that are grouped at once in Python, and about how many make a file of the stored postings, so that its sort stays in memory.
+GROUP_TOKENS, FILE_TOKENS = 500_000, 2_000_000
 #: Bytes of a row group of the stored postings: a lookup reads few of them.
 ROW_GROUP = 8 << 20
 
@@ -93,15 +98,101 @@ def inverted(posts: DataFrame) -> DataFrame:
     return posts.groupBy("chunk_id", "term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def write_index(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
+def _words(docs: DataFrame) -> DataFrame:
+    words = F.concat("body", F.transform("title", lambda w: F.concat(w, F.lit("#"))))
+    return docs.select("chunk_id", "doc_id", words.alias("words"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Batches (chunk_id, doc_id, words) -> for each few documents their columns, their terms in order, and the numbers of term and
+    document and the place of each token, in the order of term and document."""
+    for b in batches:
+        sizes = pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total, i = np.cumsum(sizes), 0
+        while i < len(sizes):
+            stop = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + GROUP_TOKENS, side="right")))
+            n, part = sizes[i:stop], b.slice(i, stop - i)
+            coded = part.column(2).flatten().dictionary_encode()
+            if len(coded):
+                by_term = pc.sort_indices(coded.dictionary)
+                rank = np.empty(len(by_term), np.int64)
+                rank[by_term.to_numpy()] = np.arange(len(by_term))
+                key = rank[coded.indices.to_numpy()] * len(n) + np.repeat(np.arange(len(n)), n)
+                order = np.argsort(key, kind="stable")
+                place = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+                yield part, coded.dictionary.take(by_term), *np.divmod(key[order], len(n)), place[order]
+            i = stop
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    return np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
+
+
+def by_document(docs: DataFrame, place: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """inverted(postings(docs)) without a shuffle, since each document's tokens lie together: doc_id is unique. place gives the chunks of an
+    array of doc_ids, in place of docs' own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words, term, doc, pos in _groups(batches):
+            first = _starts(term, doc)
+            ids = part.column(1).take(pa.array(doc[first]))
+            chunk = part.column(0).take(pa.array(doc[first])) if place is None else pa.array(place(ids.to_numpy()))
+            positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(pos)].astype(np.int32)), pa.array(pos))
+            yield pa.RecordBatch.from_arrays([chunk, words.take(pa.array(term[first])), ids, positions], ["chunk_id", "term", "doc_id", "positions"])
+
+    rows = _words(docs)
+    kinds = {"chunk_id": T.LongType(), "term": T.StringType(), "doc_id": rows.schema["doc_id"].dataType, "positions": T.ArrayType(T.LongType())}
+    return rows.mapInArrow(run, T.StructType([T.StructField(k, t) for k, t in kinds.items()]))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stored postings (term, chunk_id, n) in their order -> (term, chunk_id, cf, df) of each run of them."""
+    for b in batches:
+        if len(b):
+            coded = b.column(0).dictionary_encode()
+            chunk = b.column(1).to_numpy()
+            first = _starts(coded.indices.to_numpy(), chunk)
+            cf = np.add.reduceat(b.column(2).to_numpy().astype(np.int64), first)
+            df = np.diff(np.r_[first, len(chunk)])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first)), pa.array(chunk[first]), pa.array(cf), pa.array(df)], ["term", "chunk_id", "cf", "df"])
+
+
+def _chunk_of(placed: DataFrame, servers: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The chunk of a document by its id alone: on a server, chunks are ranges of doc_id. A number a chunk is all that tasks get."""
+    rows = placed.groupBy("chunk_id").agg(F.min("doc_id").alias("first")).orderBy("chunk_id").collect()
+    firsts = [np.array([r["first"] for r in rows if r["chunk_id"] % servers == k], np.int64) for k in range(servers)]
+
+    def place(ids: np.ndarray) -> np.ndarray:
+        out = np.empty(len(ids), np.int64)
+        for k in range(servers):
+            at = np.flatnonzero(ids % servers == k)
+            out[at] = (np.searchsorted(firsts[k], ids[at], side="right") - 1) * servers + k
+        return out
+
+    return place
+
+
+def write_index(docs: DataFrame, path: str, tokens: int = CHUNK_TOKENS, servers: int = 1, mode: str = "overwrite") -> None:
     """docs/ (without bodies), postings/ and terms/ below path. Postings lie in the order of term over all files, so that the
-    term of a lookup is pushed down to few row groups; a term of very many documents goes over several files."""
-    spark = docs.sparkSession
-    docs.drop("body", "title").write.mode(mode).parquet(f"{path}/docs")
-    posts = inverted(postings(docs)).repartitionByRange("term", "chunk_id", "doc_id").sortWithinPartitions("term", "chunk_id", "doc_id")
-    posts.write.mode(mode).option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
-    counts = spark.read.parquet(f"{path}/postings").groupBy("term", "chunk_id").agg(F.sum(F.size("positions")).alias("cf"), F.count("*").alias("df"))
-    counts.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/terms")
+    term of a lookup is pushed down to few row groups; a term of very many documents goes over several files. Chunks are cut over
+    lengths, and postings get theirs from ranges of doc_id: neither texts nor bodies are shuffled, postings once."""
+    spark, cut = docs.sparkSession, f"{path}/lengths"
+    docs = docs.where("doc_id IS NOT NULL")
+    lengths = docs.drop("chunk_id", "start_pos", "body", "title")
+    lengths.write.mode("overwrite").parquet(cut)
+    chunked(spark.read.schema(lengths.schema).parquet(cut), tokens, servers).write.mode(mode).parquet(f"{path}/docs")
+    drop(spark, cut)
+    placed = spark.read.parquet(f"{path}/docs")
+    held = placed.agg(F.sum("doc_len")).first()[0] or 0
+    files = max(-(-held // FILE_TOKENS), min(spark.sparkContext.defaultParallelism, held // 100_000), 1)
+    posts = by_document(docs.withColumn("doc_id", F.col("doc_id").cast("long")), _chunk_of(placed, servers))
+    keys = ["term", "chunk_id", "doc_id"]
+    posts.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode(mode).option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings").select("term", "chunk_id", F.size("positions").alias("n"))
+    runs = stored.mapInArrow(_runs, "term string, chunk_id long, cf long, df long").repartitionByRange(files, "term", "chunk_id")
+    counts = runs.groupBy("term", "chunk_id").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+    counts.sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -114,10 +205,22 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/terms")
 
 
-def term_stats(posts: DataFrame) -> DataFrame:
-    """(chunk_id, term, cf, df): occurrences, and documents that have the term."""
-    per = posts.groupBy("chunk_id", "term", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("chunk_id", "term").agg(F.sum("n").alias("cf"), F.count("*").alias("df"))
+def term_stats(docs: DataFrame) -> DataFrame:
+    """(chunk_id, term, cf, df): occurrences, and documents that have the term. Tokens are counted where their documents lie; only
+    counts are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words, term, doc, _ in _groups(batches):
+            first = _starts(term, doc)
+            term_at, n = term[first], np.diff(np.r_[first, len(term)])
+            chunk = part.column(0).to_numpy()[doc[first]]
+            order = np.lexsort((chunk, term_at)) if (chunk != chunk[0]).any() else np.arange(len(n))
+            term_at, chunk, n = term_at[order], chunk[order], n[order]
+            same = _starts(term_at, chunk)
+            cols = [pa.array(chunk[same]), words.take(pa.array(term_at[same])), pa.array(np.add.reduceat(n, same)), pa.array(np.diff(np.r_[same, len(n)]))]
+            yield pa.RecordBatch.from_arrays(cols, ["chunk_id", "term", "cf", "df"])
+
+    return _words(docs).mapInArrow(run, "chunk_id long, term string, cf long, df long").groupBy("chunk_id", "term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -144,4 +247,4 @@ class IndexBuilder:
 
     def write(self, path: str) -> None:
         if self.docs is not None:
-            write_index(chunked(self.docs, self.tokens, self.servers), path)
+            write_index(self.docs, path, self.tokens, self.servers)

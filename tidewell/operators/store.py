@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses, deleted at the end of the run."""
     path = f"{shared_dir(spark)}/tidewell-{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
+    atexit.register(drop, spark, path)
     return path
 
 
@@ -58,7 +58,7 @@ def numbered(df: DataFrame, by: list[Column], order: list[Column], name: str) ->
     return same.select(*(F.col(f"a.{c}") for c in df.columns), (F.col("_before") + F.col("_row")).alias(name))
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
