@@ -28,8 +28,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.docs_of_texts(table(spark, sf_dir, "documents"))
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.parse_pages(table(spark, sf_dir, "pages"))
+def pages(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    return html.parse_pages(table(spark, sf_dir, "pages"), only or tuple(html.COLUMNS))
 
 
 def urls_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def index_path(spark: SparkSession, sf_dir: str, kind: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _built or not store.exists(spark, f"{_built[key]}/terms"):
         path = store.new_path(spark, f"index-{kind}")
-        docs = documents(spark, sf_dir) if kind == "documents" else index.docs_of_pages(pages(spark, sf_dir))
+        docs = documents(spark, sf_dir) if kind == "documents" else index.docs_of_pages(pages(spark, sf_dir, "words", "title_words"))
         index.IndexBuilder(CHUNK, SERVERS).add(docs).write(path)
         _built[key] = path
     return _built[key]
@@ -163,7 +163,7 @@ def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html.page_links(pages(spark, sf_dir))
+    found = html.page_links(pages(spark, sf_dir, "links"))
     return found.select("page_id", "no", urls.drop_last_slash(urls.url_join("page_url", "url")).alias("url"))
 
 
@@ -176,11 +176,11 @@ def html_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.page_links(pages(spark, sf_dir)).select("page_id", F.col("no").cast("long").alias("no"), "url", F.array_join("anchor_text", " ").alias("anchor"))
+    return html.page_links(pages(spark, sf_dir, "links")).select("page_id", F.col("no").cast("long").alias("no"), "url", F.array_join("anchor_text", " ").alias("anchor"))
 
 
 def links_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.discovered(pages(spark, sf_dir))
+    return crawl.discovered(pages(spark, sf_dir, "links"))
 
 
 def html_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +310,7 @@ def frontier_level_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def old_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html.page_links(pages(spark, sf_dir))
+    found = html.page_links(pages(spark, sf_dir, "links"))
     joined = found.withColumn("url", urls.drop_last_slash(urls.url_join("page_url", "url"))).withColumn("no", F.col("no").cast("long"))
     return crawl.old_link_limits(joined).select("page_id", "no", "url")
 

@@ -6,7 +6,7 @@ import re
 from functools import reduce
 from operator import or_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,10 +110,10 @@ def join(base: str, link: str) -> str:
     return root + tidy_path(path[: path.rfind("/") + 1] + link)
 
 
-@F.pandas_udf(T.StringType())
-def url_join(base: pd.Series, link: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def url_join(base: pa.Array, link: pa.Array) -> pa.Array:
     """join() over columns; null if either side is."""
-    return pd.Series([join(b, x) if isinstance(b, str) and isinstance(x, str) else None for b, x in zip(base, link, strict=True)], dtype=object)
+    return pa.array((None if b is None or x is None else join(b, x) for b, x in ((b.as_py(), x.as_py()) for b, x in zip(base, link, strict=True))), pa.string())
 
 
 def barred(url: Column) -> Column:

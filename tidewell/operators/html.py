@@ -11,9 +11,11 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import ascii_lower
 
@@ -21,7 +23,15 @@ NAME = re.compile(r"[^ \n\t\r\f/>]*")
 END = re.compile(r"(?:[^>&]|&.)*", re.S)
 WORDS = re.compile(r"[^ \n\t\r\f]+")
 SECTIONS = ("script", "style", "svg")
-SCHEMA = "page_id long, url string, words array<string>, title_words array<string>, links array<struct<url: string, anchor_text: array<string>>>, base string"
+#: What a page is parsed to.
+COLUMNS = {
+    "words": T.ArrayType(T.StringType()), "title_words": T.ArrayType(T.StringType()),
+    "links": T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("anchor_text", T.ArrayType(T.StringType()))])), "base": T.StringType(),
+}
+_TEXTS = pa.list_(pa.string())
+_KINDS = {"words": _TEXTS, "title_words": _TEXTS, "links": pa.list_(pa.struct([("url", pa.string()), ("anchor_text", _TEXTS)])), "base": pa.string()}
+#: Bytes of HTML that are parsed before what came out leaves Python; one larger page is parsed alone.
+PARSED_BYTES = 1 << 20
 
 
 class Link(NamedTuple):
@@ -112,18 +122,26 @@ def parse(html: str | None) -> Parsed:
     return out._replace(base=base or "")
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, words, title_words, links, base) of pages (page_id, url, html); one pass, no shuffle."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [parse(h if isinstance(h, str) else None) for h in pdf["html"]]
-            yield pd.DataFrame({
-                "page_id": pdf["page_id"], "url": pdf["url"], "words": [p.words for p in found], "title_words": [p.title_words for p in found],
-                "links": [[x._asdict() for x in p.links] for p in found], "base": [p.base for p in found],
-            })
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, SCHEMA)
+def parsed_batches(batches: Iterator[pa.RecordBatch], only: tuple[str, ...] = tuple(COLUMNS)) -> Iterator[pa.RecordBatch]:
+    """Batches (page_id, url, html) -> (page_id, url, what is asked for) of a few pages each. Python holds what came of PARSED_BYTES at once,
+    however many rows a batch has."""
+    for b in batches:
+        total, i = pc.cumulative_sum(pc.fill_null(pc.binary_length(b.column(2)), 0).cast(pa.int64())).to_numpy(zero_copy_only=False), 0
+        while i < len(total):
+            stop = max(i + 1, int(total.searchsorted((total[i - 1] if i else 0) + PARSED_BYTES, side="right")))
+            part = b.slice(i, stop - i)
+            found = [parse(h.as_py()) for h in part.column(2)]
+            cols = [pa.array([[x._asdict() for x in p.links] for p in found] if c == "links" else [getattr(p, c) for p in found], _KINDS[c]) for c in only]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], ["page_id", "url", *only])
+            i = stop
+
+
+def parse_pages(pages: DataFrame, only: tuple[str, ...] = tuple(COLUMNS)) -> DataFrame:
+    """(page_id, url, words, title_words, links, base) of pages (page_id, url, html), or page_id, url and those asked for; one pass, no
+    shuffle."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    kinds = {"page_id": T.LongType(), "url": T.StringType(), **{c: COLUMNS[c] for c in only}}
+    return rows.mapInArrow(lambda batches: parsed_batches(batches, only), T.StructType([T.StructField(k, t) for k, t in kinds.items()]))
 
 
 def is_html(header: Column) -> Column:

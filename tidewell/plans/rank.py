@@ -8,7 +8,7 @@ three, and 1 over the width of the whole query's span if every word was found; a
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,9 +57,14 @@ def score(places: list[np.ndarray], rare: int) -> float:
         return float((gain / DECAY ** r.astype(float)).sum())
 
 
-@F.pandas_udf(T.DoubleType())
-def _scores(table: pd.Series, rare: pd.Series) -> pd.Series:
-    return pd.Series([score([np.asarray(p) for p in places], int(r)) for places, r in zip(table, rare, strict=True)], dtype=float)
+@F.arrow_udf(T.DoubleType())
+def _scores(table: pa.Array, rare: pa.Array) -> pa.Array:
+    """table: lists of as many position arrays a row. Positions are read where Arrow has them; none becomes a Python object."""
+    rows = table.flatten()
+    ends, places = rows.offsets.to_numpy(), rows.values.to_numpy()
+    k = len(rows) // max(len(table), 1)
+    arrays = lambda i: [places[ends[j] : ends[j + 1]] for j in range(i * k, (i + 1) * k)]
+    return pa.array([score(arrays(i), r) for i, r in enumerate(rare.to_pylist())], pa.float64())
 
 
 def text_score(places: list[Column], rare: Column) -> Column:
