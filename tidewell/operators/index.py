@@ -24,7 +24,7 @@ from .store import drop
 
 CHUNK_TOKENS = 30_000_000
 #: Tokens that are grouped at once in Python, and about how many make a file of the stored postings, so that its sort stays in memory.
-GROUP_TOKENS, FILE_TOKENS = 500_000, 2_000_000
+GROUP_TOKENS, FILE_TOKENS = 100_000, 2_000_000
 #: Bytes of a row group of the stored postings: a lookup reads few of them.
 ROW_GROUP = 8 << 20
 
